@@ -33,7 +33,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     recompute it nor depend on an executor that held it."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Snappy keeps buffers outside the heap until a collection; zstd frees its own.
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

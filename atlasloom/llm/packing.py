@@ -7,7 +7,10 @@ or a round no longer helps. A task holds at most ITEMS items, each with at most
 
 from __future__ import annotations
 
+import re
+import string
 import zlib
+from array import array
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -25,10 +28,35 @@ VOCABULARY_FILE = "word_bpe_49k.json"
 ITEMS = 100_000  # items that one task packs
 SLACK = 8  # tokens that a bin may lack and still count as nearly full
 LEAST_GAIN = 0.01  # a round that leaves more than 1 - this of its bins underfull is the last
-CACHED = 400_000  # distinct words whose ids a worker keeps
+CACHED = 100_000  # distinct words of which a worker keeps the ids, the first it meets,
+PIECES = 400_000  # and distinct pieces of words
 
 MEMBER = "struct<doc_id:{id},piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
 
+_PUNCTUATION = frozenset(string.punctuation)
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Their lower case is longer, or depends on what stands around them.
+_ODD_CASE = frozenset("İΣ")
+
+
+class _Pieces(dict):
+    """The ids of what the tokenizer's own first step cuts words into."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, piece: str) -> bytes:
+        # Lower-case ASCII letters are as the model wants them; the rest goes through all steps.
+        if piece.isascii() and piece.isalpha():
+            ids = [t.id for t in self.tokenizer.model.tokenize(piece)]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        out = array("I", ids).tobytes()
+        if len(self) < PIECES:
+            self[piece] = out
+        return out
+
 
 class _Words(dict):
     """The ids of a word as little-endian bytes. No token of this vocabulary crosses white space."""
@@ -38,13 +66,20 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = _Pieces(self.tokenizer)
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        out = np.array(ids, dtype="<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= CACHED:
-                self.clear()
+        text = word.decode("utf-8", "replace")
+        last = text[-1:]
+        if text.isalpha() and _ODD_CASE.isdisjoint(text):
+            out = self.pieces[text.lower()]
+        elif last in _PUNCTUATION and text[:-1].isalpha() and _ODD_CASE.isdisjoint(text):
+            out = self.pieces[text[:-1].lower()] + self.pieces[last]
+        elif text.isascii() and "<|" not in text:
+            out = b"".join(map(self.pieces.__getitem__, _ASCII.findall(text.lower())))
+        else:
+            out = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self) < CACHED and len(word) <= 64:
             self[word] = out
         return out
 
