@@ -20,4 +20,4 @@ def query(sql: str | None = None, *ctes: str):
     return add
 
 
-from . import geo_queries, state_queries, text_queries  # noqa: E402,F401  each registers its own
+from . import geo_queries, state_queries, stream_queries, text_queries  # noqa: E402,F401  each registers its own
