@@ -19,6 +19,7 @@ FANOUT = 4  # runs of one tier that make a merge
 BASE = 1 << 20  # bytes of the smallest tier
 TARGET = 128 << 20  # bytes of a merged file
 ARRIVAL = "__arrival"
+CODEC = "zstd"  # Snappy keeps buffers outside the heap until a collection
 
 
 @dataclass(frozen=True)
@@ -88,7 +89,7 @@ class ShardStore:
         stage = f"shards/{uuid.uuid4().hex}"
         by_arrival = arrivals.withColumn(ARRIVAL, F.col(by) if by else F.lit(0))
         # Spark lists no folder of hidden names, so the folders of partitions are named by value only.
-        by_arrival.write.partitionBy(ARRIVAL).parquet(f"{self.root}/{stage}")
+        by_arrival.write.option("compression", CODEC).partitionBy(ARRIVAL).parquet(f"{self.root}/{stage}")
         for name, _ in self._list(stage):
             if name.startswith(f"{ARRIVAL}="):
                 run = self._run(f"{stage}/{name}", 0)
@@ -117,7 +118,7 @@ class ShardStore:
         """One run from several: files of about the target size, rows neither shuffled nor sorted."""
         folder = f"shards/{uuid.uuid4().hex}"
         files = max(1, round(sum(r.bytes for r in group) / self.target))
-        self.read(group).coalesce(files).write.parquet(f"{self.root}/{folder}")
+        self.read(group).coalesce(files).write.option("compression", CODEC).parquet(f"{self.root}/{folder}")
         return self._run(folder, level)
 
     def compact(self) -> int:
