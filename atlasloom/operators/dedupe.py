@@ -16,6 +16,7 @@ from math import cos, degrees, radians
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.mercator import haversine
 from ..functions.text import clean_name, strip
@@ -26,7 +27,7 @@ SIMILAR = 0.6
 EARTH_M = 6_371_000.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def name_ratio(new: pd.Series, kept: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; not symmetric, the new name comes first."""
     return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(new, kept, strict=True)])
@@ -67,7 +68,7 @@ def duplicate_edges(pois: DataFrame, key: str, limit_m: float = LIMIT_M, similar
         return equal
     # The ratio is at most twice the shorter length over both, so most pairs need no comparison.
     a, b = F.length("name_a"), F.length("name_b")
-    maybe = pairs.where("name_a <> name_b").where(2.0 * F.least(a, b) / (a + b) >= similar)
+    maybe = pairs.where("name_a <> name_b").where(F.try_divide(2.0 * F.least(a, b), a + b) >= similar)
     return equal.unionAll(maybe.where(name_ratio("name_a", "name_b") >= similar).select("later", "earlier"))
 
 

@@ -53,7 +53,7 @@ def band_index(edges: DataFrame, buffer_m: float = 0.0, band: float = BAND) -> D
 
 def crosses(x: Column, y: Column, e: Column) -> Column:
     """Whether a ray to the right of (x, y) meets the edge; its lower end is open, its upper closed."""
-    at = (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"]) + e["x1"]
+    at = F.try_divide((y - e["y1"]) * (e["x2"] - e["x1"]), e["y2"] - e["y1"]) + e["x1"]
     return (y > F.least(e["y1"], e["y2"])) & (y <= F.greatest(e["y1"], e["y2"])) & (x <= F.greatest(e["x1"], e["x2"])) & ((e["x1"] == e["x2"]) | (x <= at))
 
 

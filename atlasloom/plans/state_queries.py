@@ -164,14 +164,14 @@ def _labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query(
-    """SELECT poi, tile, name, label, CAST(tier AS INTEGER) AS tier FROM (SELECT o.poi, o.tile, o.name, l.label, l.tier, row_number() OVER (PARTITION BY o.poi ORDER BY l.tier, l.ordinal) AS rn FROM own o LEFT JOIN
+    """SELECT poi, tile, name, label, CAST(coalesce(tier, 0) AS INTEGER) AS tier FROM (SELECT o.poi, o.tile, o.name, l.label, l.tier, row_number() OVER (PARTITION BY o.poi ORDER BY l.tier, l.ordinal) AS rn FROM own o LEFT JOIN
     (SELECT poi, b.ordinal, b.label, CASE WHEN name = b.label THEN 1 WHEN lower(name) = lower(b.label) THEN 2 WHEN length(b.label) > 3 AND (contains(lower(name), lower(b.label)) OR contains(lower(b.label), lower(name))) THEN 3 END AS tier
      FROM own JOIN labels_by_tile b USING (tile)) l ON o.poi = l.poi AND l.tier IS NOT NULL) WHERE rn = 1""",
     _LABELS,
 )
 def dom_soft_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, labels = _labels(spark, sf_dir)
-    return matching.soft_match(own.select("poi", "tile", "name"), labels.select("tile", "ordinal", "label"), "poi").select("poi", "tile", "name", "label", "tier")
+    return matching.soft_match(own.select("poi", "tile", "name"), labels.select("tile", "ordinal", "label"), "poi").select("poi", "tile", "name", "label", F.coalesce("tier", F.lit(0)).alias("tier"))
 
 
 _KEY = f"array_to_string(list_transform(regexp_extract_all(label, '{t.TOKEN}', 0), lambda w: {fold_sql('w')}), ' ')"

@@ -58,7 +58,14 @@ def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     """(path, tx, ty, status, bbox) of saved states; a tile is discarded before visited before captured before queued.
     Boxes whose keys are not `tx,ty` are skipped."""
     files = whole_files(spark, path).select("path", F.from_json("value", _CHECKPOINT).alias("c"))
-    listed = F.flatten(F.array(*(F.transform(F.coalesce(f"c.{part}", F.array().cast("array<array<int>>")), lambda p, s=status, r=rank: F.struct(F.get(p, F.lit(0)).alias("tx"), F.get(p, F.lit(1)).alias("ty"), F.lit(r).alias("rank"), F.lit(s).alias("status"))) for rank, (part, status) in enumerate((("discarded", "discarded"), ("visited", "visited"), ("captured", "captured"), ("queue", "queued"))))))
+    parts = [("discarded", "discarded"), ("visited", "visited"), ("captured", "captured"), ("queue", "queued")]
+    empty = F.array().cast("array<array<int>>")
+
+    def entries(part: str, status: str, rank: int):
+        point = lambda p: F.struct(F.get(p, F.lit(0)).alias("tx"), F.get(p, F.lit(1)).alias("ty"), F.lit(rank).alias("rank"), F.lit(status).alias("status"))
+        return F.transform(F.coalesce(f"c.{part}", empty), point)
+
+    listed = F.flatten(F.array(*(entries(part, status, rank) for rank, (part, status) in enumerate(parts))))
     tiles = files.select("path", F.explode(listed).alias("t")).select("path", "t.*").where("tx is not null and ty is not null")
     tiles = tiles.groupBy("path", "tx", "ty").agg(F.min_by("status", "rank").alias("status"))
     boxes = files.select("path", F.explode("c.tile_bboxes").alias("k", "b")).where(F.col("k").rlike("^-?[0-9]+,-?[0-9]+$") & (F.size("b") == 4))
