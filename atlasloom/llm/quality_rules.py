@@ -29,7 +29,7 @@ class Rule(NamedTuple):
 
 
 def _per(over: str, under: str) -> Callable[[Column], Column]:
-    return lambda m: m[over] / m[under]
+    return lambda m: F.try_divide(m[over], m[under])
 
 
 #: The method's own verdict, over the measures of a document.

@@ -162,7 +162,7 @@ def site_bayes(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     k = weight * F.coalesce(F.col("good").cast("double"), F.col("evidence"))
     paths = materialize(own.groupBy("host", "path").agg(F.sum(weight).alias("n"), F.sum(k).alias("k")), "paths")
     hosts = materialize(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "hosts")
-    whole = hosts.agg((F.sum("k") / F.sum("n")).alias("rate")).first().rate
+    whole = hosts.agg(F.try_divide(F.sum("k"), F.sum("n")).alias("rate")).first().rate or 0.5
     whole = min(max(whole, 1e-6), 1 - 1e-6)
     m = _strength(hosts, F.lit(whole))
     hosts = hosts.select("host", ((F.col("k") + m * whole) / (F.col("n") + m)).alias("host_rate"))

@@ -74,7 +74,7 @@ def _merged(nodes: DataFrame) -> DataFrame:
         both = branch.join(small(pool, NODES), ["host", "key"])
         rest, rest_bad = F.col("ps") - F.col("s"), F.col("pb") - F.col("b")
         p = (F.col("pb") + 0.5) / (F.col("ps") + 1.0)
-        z = (F.col("b") / F.col("s") - rest_bad / rest) / F.sqrt(p * (1 - p) * (1 / F.col("s") + 1 / rest))
+        z = F.try_divide(F.try_divide(F.col("b"), F.col("s")) - F.try_divide(rest_bad, rest), F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1), F.col("s")) + F.try_divide(F.lit(1), rest))))
         alike = F.when((F.col("s") > 0) & (rest > 0), F.abs(z) < Z).otherwise(True)
         move = materialize(both.select("host", "into", F.when(alike, F.col("key")).otherwise(F.col("into")).alias("moved")), "merge")
         out = out.join(small(move, NODES), ["host", "into"]).withColumn("into", F.col("moved")).drop("moved")
@@ -98,7 +98,7 @@ def url_filter(pages: DataFrame, labelled: DataFrame, page_id: str = "page_id",
     leaves = materialize(_templates(materialize(leaves, "leaves")), "templates")
     nodes = materialize(leaves.groupBy("host", "template").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")), "nodes")
     merged = materialize(_merged(nodes), "merged")
-    rate = nodes.agg(F.sum("bad") / F.sum("seen")).first()[0] or 0.0
+    rate = nodes.agg(F.try_divide(F.sum("bad"), F.sum("seen"))).first()[0] or 0.0
     impurity = (F.sum("bad") + PRIOR * rate) / (F.sum("seen") + PRIOR)
     judged = merged.groupBy("host", "into").agg(impurity.alias("impurity"))
     judged = merged.select("host", "template", "into").join(judged, ["host", "into"])
