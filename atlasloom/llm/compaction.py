@@ -71,9 +71,9 @@ class ShardStore:
         out = self._fs.create(draft, False)
         out.write(bytearray(json.dumps([asdict(r) for r in runs]).encode()))
         out.close()
-        files = self._hadoop.FileContext.getFileContext(draft.toUri() if draft.isAbsoluteAndSchemeAuthorityNull() is False else self._fs.getUri(), self._conf)
+        files = self._hadoop.FileContext.getFileContext(self._fs.getUri(), self._conf)
         try:
-            files.rename(draft, final, self.spark.sparkContext._gateway.new_array(self._hadoop.Options.Rename, 0))
+            files.rename(self._fs.makeQualified(draft), self._fs.makeQualified(final), self.spark.sparkContext._gateway.new_array(self._hadoop.Options.Rename, 0))
         except Exception as e:
             self._fs.delete(draft, False)
             raise Conflict(f"version {version} exists") from e

@@ -123,5 +123,3 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     alone = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
-
-__all__ = ["embedding_dedup", "links", "quantise"]

@@ -222,5 +222,3 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     placed = bins.mapInArrow(_places, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return whole.select(placed.columns).unionAll(placed)
 
-
-__all__ = ["best_fit", "cut_pieces", "pack", "token_bytes"]

@@ -14,6 +14,7 @@ from .language_id import language_id
 from .lm_score import lm_score
 from .mixing import mix
 from .ngram_jaccard import ngram_jaccard
+from .oracles import ORACLES
 from .packing import pack
 from .quality_rules import quality_rules
 from .site_bayes import site_bayes
@@ -88,6 +89,4 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_lm_score, op2_language_id, op3_embedding_dedup, op4_quality_rules, op5_compaction, op6_url_filter, op7_mix, op8_site_bayes, op9_pack, op10_ngram_jaccard)}
 
-ORACLES = {
-    "op5_compaction": "SELECT doc_id, CAST(doc_id % 12 AS INTEGER) AS arrival, md5(text) AS text_md5, lang, source, n_chars FROM documents",
-}
+__all__ = ["ORACLES", "QUERIES"]

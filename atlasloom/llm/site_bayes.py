@@ -174,5 +174,3 @@ def site_bayes(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     score = 1 / (1 + F.exp(-(F.col("z") + shift)))
     return out.select("doc_id", "evidence", "host_rate", "path_rate", score.alias("score")).withColumn("kept", F.col("score") >= 0.5)
 
-
-__all__ = ["FEATURES", "site_bayes"]
