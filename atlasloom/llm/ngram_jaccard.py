@@ -4,24 +4,30 @@ Rows of the incidence matrix are documents, columns are shingles. Sets that are
 row. Only a prefix of each row is multiplied: under one order of all shingles, two sets with
 Jaccard of at least t share one of their first n - ceil(t n) + 1 shingles. The order puts frequent
 shingles last, so columns that many documents share rarely enter the product; the order decides
-cost alone, never the result. The product runs in two passes over the columns (blocks of them
-are Spark's partitions):
-
-1. each column links its documents to its smallest document, and these pairs are verified;
-   large groups of near copies become components here at a cost linear in their size;
-2. columns that still hold several components are multiplied out between components in tiles,
-   overlap counts are summed per pair, and pairs below the size bounds are discarded; the rest
-   are verified on whole sets.
-
-A pair is skipped only if verified links join its documents already, so no component is missed.
+cost alone, never the result. Most columns have one entry; blocks
+of columns, packed as arrays, find those with several. For two sets of given sizes n and m the
+overlap must reach o = ceil(t (n + m) / (1 + t)), and they share one of the first n - o + 1 shingles of
+one that is among the first m - o + 1 of the other, so only such entries bring them together.
+
+1. In rounds, some documents of each long column that still holds several components are its
+   hubs; each document of another component is compared with those hubs that it shares most
+   long columns with. Large groups of near copies become components at a cost linear in their size.
+2. All columns that still hold several components are multiplied out between components, in tiles.
+
+Pairs are discarded if sizes and shared prefixes rule the Jaccard out, and the rest are verified
+on whole sets. A pair is skipped only if verified links join its documents already, so no
+component is missed.
 """
 
 from __future__ import annotations
 
+import random
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, small
@@ -30,41 +36,68 @@ from .components import components
 SHINGLE = 5
 PERCENT = 75
 CELLS = 1 << 22  # of the frequency sketch, which only orders shingles
+BLOCK = 2_000_000  # entries of the matrix in a block of columns, about
 TILE = 512  # documents of one column that a task multiplies with as many others
-CACHED = 400_000  # distinct words whose hashes a worker keeps
+LOT = 1000  # partners of one document that meet it in one task
+PIECE = 1 << 22  # bytes of text whose words are hashed at once
+LONG = 4  # documents of a column beyond which it has hubs,
+HUBS = 4  # as many in each round
+BEFORE = 4  # shared columns before this one by which a pair is known to have met already
+ROUNDS = 3  # of hubs at most; one that finds no link is the last
 IDS = 4_000_000  # more documents to verify than this are found by a shuffle, not a broadcast
 
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        out = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= CACHED:
-                self.clear()
-            self[word] = out
-        return out
-
-
-_hashes = _Hashes()
+_RNG = np.random.default_rng(20240229)
+_ODD = _RNG.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = _RNG.integers(0, 1 << 63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_powers = np.ones(1, dtype=np.uint64)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _word_hashes(text: bytes) -> np.ndarray:
+    """A polynomial in an odd base modulo 2**64 for each word, then mixed."""
+    global _powers
+    out = []
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + PIECE)
+        while end < len(text) and not _SPACE[text[end]]:
+            end += 1
+        b = np.frombuffer(text, dtype=np.uint8, count=end - at, offset=at)
+        at = end
+        space = _SPACE[b]
+        inside = ~space
+        first = inside.copy()
+        first[1:] &= space[:-1]
+        starts = np.flatnonzero(first)
+        if not len(starts):
+            continue
+        place = np.arange(len(b)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(b)]])))
+        if (longest := int(place.max()) + 1) > len(_powers):
+            _powers = np.cumprod(np.concatenate([_powers[:1], np.full(2 * longest, _BASE)]), dtype=np.uint64)
+        value = (b.astype(np.uint64) + np.uint64(1)) * _powers[place]
+        value[space] = 0
+        out.append(_mix(np.add.reduceat(value, starts)))
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
 def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
-    """The document's set as sorted 64-bit hashes; a collision within a pair of documents has a
-    chance of about 1e-13 for sets of 1000."""
-    words = (text or b"").lower().split()  # of bytes: A-Z and ASCII white space alone
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    width = min(size, len(words))
-    out = np.full(len(words) - width + 1, width, dtype=np.uint64)
+    """The document's set as sorted 64-bit hashes. Two different shingles of a pair of documents of a
+    thousand words meet with a chance of about 1e-13, and would then only add one to an overlap."""
+    h = _word_hashes((text or b"").lower())  # of bytes: A-Z alone
+    if not len(h):
+        return h
+    width = min(size, len(h))
+    out = np.full(len(h) - width + 1, width, dtype=np.uint64)
     for k in range(width):
-        out += h[k : k + len(out)] * _ODD[k % len(_ODD)] + np.uint64(k)
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(32)
-    return np.unique(out)
+        out += h[k : k + len(out)] * _ODD[k]
+    return np.unique(_mix(out))
 
 
 def _cell(h: np.ndarray) -> np.ndarray:
@@ -87,62 +120,173 @@ def _frequent(batches):
     cell = np.flatnonzero(total >= mean + 5 * np.sqrt(mean) + 4)
     for at in range(0, len(cell), 100_000):
         part = cell[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(part)], ["cell"])
 
 
-def _prefixes(frequent, percent, id_type):
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))
+
+
+def _prefixes(frequent, percent):
     def rows(batches):
         for batch in batches:
-            n, prints, prefixes = [], [], []
+            n, prints, rare, common = [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingles(text)
                 n.append(len(own))
                 prints.append(xxhash.xxh3_128_digest(own.tobytes()))
                 late = frequent.value[_cell(own)]
                 keep = len(own) + (len(own) > 0) - -(-percent * len(own) // 100)
-                prefixes.append(np.concatenate([own[~late], own[late]])[:keep].view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), lists], ["id", "n", "print", "prefix"])
+                rare.append(own[~late][:keep])
+                common.append(own[late][: keep - len(rare[-1])])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), _lists(rare), _lists(common)], ["id", "n", "print", "rare", "common"])
 
     return rows
 
 
+def _deal(blocks: int):
+    """Entries of rare columns, packed by block of columns: of each document in a block its id, its size and how many
+    entries it has there, and of each entry its place in the prefix and the lower half of its shingle. The upper
+    half chose the block, so columns that meet by chance are about one in ten thousand; they cost a comparison."""
+
+    def deal(batches):
+        for batch in batches:
+            lists = batch.column("rare")
+            n = np.diff(lists.offsets.to_numpy())
+            gram = lists.flatten().to_numpy().view(np.uint64)
+            place = (np.arange(len(gram)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            doc = np.repeat(np.arange(len(n)), n)
+            block = (gram >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
+            order = np.argsort(block, kind="stable")
+            block, doc, place, low = block[order], doc[order], place[order], gram[order].astype(np.uint32)
+            ids, sizes = batch.column("id").to_numpy(), batch.column("n").to_numpy().astype(np.int32)
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)] if len(block) else [0]
+            out: dict[str, list] = {k: [] for k in ("block", "lows", "places", "ids", "sizes", "counts")}
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                first = np.concatenate([[0], np.flatnonzero(np.diff(doc[i:j])) + 1])
+                own = doc[i:j][first]
+                out["block"].append(int(block[i]))
+                for k, x in (("lows", low[i:j]), ("places", place[i:j]), ("ids", ids[own]), ("sizes", sizes[own]), ("counts", np.diff(np.append(first, j - i)).astype(np.int32))):
+                    out[k].append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out["block"], pa.int32()), *(pa.array(x, pa.binary()) for k, x in out.items() if k != "block")], list(out))
+
+    return deal
+
+
+def _several(batches):
+    """The columns of whole blocks that have several entries."""
+    kinds = {"lows": np.uint32, "places": np.int32, "ids": np.int64, "sizes": np.int32, "counts": np.int32}
+    parts: dict[str, list[np.ndarray]] = {k: [] for k in kinds}
+    blocks = []
+    for batch in batches:
+        for name, kind in kinds.items():
+            parts[name] += [np.frombuffer(x, dtype=kind) for x in batch.column(name).to_pylist()]
+        blocks += batch.column("block").to_pylist()
+    if not blocks:
+        return
+    gram = np.concatenate([low.astype(np.int64) | block << 32 for low, block in zip(parts.pop("lows"), blocks, strict=True)])
+    place, ids, sizes, counts = (np.concatenate(parts.pop(k)) for k in ("places", "ids", "sizes", "counts"))
+    order = np.argsort(gram, kind="stable")
+    same = gram[order[1:]] == gram[order[:-1]]
+    keep = np.zeros(len(gram), dtype=bool)
+    keep[1:] |= same
+    keep[:-1] |= same
+    order = order[keep]
+    doc = np.repeat(np.arange(len(ids)), counts)[order]
+    gram, place = gram[order], place[order]
+    for at in range(0, len(gram), 100_000):
+        part = slice(at, at + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram[part], ids[doc[part]], place[part], sizes[doc[part]])], ["gram", "id", "at", "n"])
+
+
 def _sets(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            own = [shingles(text).view(np.int64) for text in part.column(1).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own), pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingles(x) for x in part.column(1).to_pylist()])], ["id", "set"])
 
 
-def _needed(total: Column, percent: int) -> Column:
-    """The least overlap of two sets of that many shingles together: o >= p (total - o)."""
-    return F.ceil(total * percent / (100 + percent))
+def _meet(at, n, other_at, m, percent: int) -> Column:
+    """Whether a column that two sets share at these places lies in the prefixes that their sizes call for."""
+    n, m = F.col(n), F.col(m)
+    needed = _needed(n, m, percent)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.col(at) <= n - needed) & (F.col(other_at) <= m - needed)
+
+
+def _attach(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """pairs (a, b) with the structs va and vb of values (id, ...). The partners of one document are dealt in lots, so
+    that no task gets all partners of a document that very many others are compared with."""
+    packed = values.select("id", F.struct(*(c for c in values.columns if c != "id")).alias("v"))
+    lots = pairs.groupBy("a").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
+    left = packed.join(lots.withColumnRenamed("a", "id"), "id").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    right = pairs.join(lots, "a").join(packed.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
+    right = right.withColumn("lot", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int"))
+    return right.join(left.select(F.col("id").alias("a"), "lot", F.col("v").alias("va")), ["a", "lot"]).select("a", "b", "va", "vb")
+
+
+def _possible(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those whose sizes and prefixes allow the Jaccard asked for: beyond the shingles that two prefixes
+    share, sets share no more than what follows the prefix that ends first."""
+    both = _attach(pairs, shared)
+    n_a, n_b = F.col("va.n"), F.col("vb.n")
+    rest = F.greatest(n_a - F.col("va.p"), n_b - F.col("vb.p"))
+    near = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+    common = F.size(F.array_intersect("va.grams", "vb.grams"))
+    return both.where(near & (common + rest >= _needed(n_a, n_b, percent))).select("a", "b")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose whole sets have the Jaccard asked for."""
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-    # Each set is shuffled once for each side, its partners in lots, so that no task gets all
-    # partners of a document that very many others are compared with.
-    sets = docs.join(small(ids, IDS), "id", "left_semi").mapInArrow(_sets, "id long, set array<bigint>")
-    sets = materialize(sets, "sets")
-    lots = pairs.groupBy("a").agg(F.ceil(F.count("*") / 1000).cast("int").alias("lots"))
-    left = sets.withColumnRenamed("set", "set_a").join(lots.withColumnRenamed("a", "id"), "id").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
-    right = pairs.join(lots, "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    right = right.withColumn("lot", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int"))
-    both = right.join(left.select(F.col("id").alias("a"), "lot", "set_a"), ["a", "lot"])
-    both = both.withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
-    linked = both.where(100 * F.col("common") >= percent * (F.size("set_a") + F.size("set_b") - F.col("common")))
+    sets = materialize(docs.join(small(ids, IDS), "id", "left_semi").mapInArrow(_sets, "id long, set array<bigint>"), "sets")
+    both = _attach(pairs, sets).withColumn("common", F.size(F.array_intersect("va.set", "vb.set")))
+    linked = both.where(100 * F.col("common") >= percent * (F.size("va.set") + F.size("vb.set") - F.col("common")))
     out = materialize(linked.select("a", "b").distinct(), "links")
     discard(sets)
     return out
 
 
+def _needed(n, m, percent: int) -> Column:
+    """The least overlap of two sets of these sizes."""
+    return F.ceil((n + m) * percent / (100 + percent))
+
+
+def _named(columns: DataFrame, known: DataFrame | None) -> DataFrame:
+    """columns with each document's component so far."""
+    if known is None:
+        return columns.withColumn("component", F.col("id"))
+    names = small(known.select(F.col("node").alias("id"), "component"), IDS)
+    return columns.join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _mixed(columns: DataFrame, known: DataFrame | None, percent: int, *more: Column) -> DataFrame:
+    """Entries (gram, id, at, n, component, m, ...) of columns with several components and an entry that can start a comparison;
+    m counts the column's entries, more are further aggregates of it."""
+    named = _named(columns, known)
+    starts = F.col("at") <= F.col("n") - _needed(F.col("n"), F.col("n"), percent)
+    per = named.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or(starts).alias("any"), F.count("*").alias("m"), *more)
+    return named.join(per.where("lo < hi and any").drop("lo", "hi", "any"), "gram")
+
+
+def _ask(columns: DataFrame, known: DataFrame | None, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b): each document b of a long column and the hubs a of other components that it shares most such columns
+    with. A hub is the id whose bits are nearest to a number drawn for the turn, so all columns of a group tend to have
+    the same ones."""
+    drawn = [random.Random(turn * HUBS + k).getrandbits(62) for k in range(HUBS)]
+    hubs = [F.min(F.col("id").bitwiseXOR(F.lit(d))).alias(f"h{k}") for k, d in enumerate(drawn)]
+    hub = F.explode(F.array(*(F.col(f"h{k}").bitwiseXOR(F.lit(d)) for k, d in enumerate(drawn)))).alias("hub")
+    asked = _mixed(columns, known, percent, *hubs).select("id", "component", hub).where("id <> hub")
+    asked = asked.groupBy("id", "component", "hub").agg(F.count("*").alias("k"))
+    # A document has at most as many hubs as its prefix has entries, times HUBS.
+    best = F.slice(F.sort_array(F.collect_list(F.struct("k", "hub")), asc=False), 1, 2 * HUBS)
+    asked = asked.groupBy("id", "component").agg(best.alias("best")).select("id", "component", F.explode("best.hub").alias("hub"))
+    if known is not None:
+        asked = asked.join(small(known.select(F.col("node").alias("hub"), F.col("component").alias("theirs")), IDS), "hub", "left").where(F.col("component") != F.coalesce("theirs", "hub"))
+    return asked.select(F.col("hub").alias("a"), F.col("id").alias("b"))
+
+
 def ngram_jaccard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Components of the documents under Jaccard >= percent/100 of their sets of word 5-shingles.
 
@@ -154,49 +298,66 @@ def ngram_jaccard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
-    cells = docs.select("text").mapInArrow(_frequent, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    cells = docs.select("text").mapInArrow(_frequent, "cell long").distinct()
     frequent = np.zeros(CELLS, dtype=bool)  # at most CELLS rows reach the driver, 4 MB go out
-    frequent[cells.select("cell").toArrow().column(0).to_numpy()] = True
+    frequent[cells.toArrow().column(0).to_numpy()] = True
     frequent = spark.sparkContext.broadcast(frequent)
-    rows = docs.mapInArrow(_prefixes(frequent, percent, pa.int64()), "id long, n long, print binary, prefix array<bigint>")
-    rows = materialize(rows, "rows")
+    rows = materialize(docs.mapInArrow(_prefixes(frequent, percent), "id long, n long, print binary, rare array<bigint>, common array<bigint>"), "rows")
 
     # Equal sets are one row of the matrix, named by its smallest document.
     classes = materialize(rows.where("n > 0").groupBy("print").agg(F.min("id").alias("rep")), "classes")
-    heads = rows.join(classes.select(F.col("rep").alias("id"), "print"), ["id", "print"], "left_semi")
-    entries = heads.select("id", "n", F.size("prefix").alias("p"), F.posexplode("prefix").alias("at", "gram"))
-    columns = entries.groupBy("gram").agg(F.count("*").alias("m"), F.min(F.struct("id", "n")).alias("head")).where("m > 1")
-    columns = materialize(entries.join(columns, "gram"), "columns")
-
-    fits = lambda a, b: (100 * F.least(a, b)) >= percent * F.greatest(a, b)
-    first = columns.where(F.col("id") != F.col("head.id")).where(fits(F.col("n"), F.col("head.n")))
-    first = materialize(first.select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    linked = _verify(first, docs, percent)
-    known = materialize(components(linked), "known")
-
-    # What is left: columns with several components, multiplied between them.
-    named = columns.drop("head").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    named = materialize(named, "named")
-    mixed = named.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("lo < hi")
-    tiled = named.join(mixed.select("gram", "tiles"), "gram").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    reps = classes.select(F.col("rep").alias("id"), "print")
+    heads = rows.join(small(reps, IDS), ["id", "print"], "left_semi").select("id", "n", (F.size("rare") + F.size("common")).alias("p"), "rare", "common")
+    about = materialize(heads.select("id", "n", "p"), "about")
+
+    entries = heads.agg(F.sum(F.size("rare"))).first()[0] or 0
+    blocks = max(1, -(-entries // BLOCK))
+    dealt = heads.select("id", "rare", "n").mapInArrow(_deal(blocks), "block int, lows binary, places binary, ids binary, sizes binary, counts binary")
+    rare = dealt.repartition(blocks, "block").mapInArrow(_several, "gram long, id long, at int, n int")
+    # A column of a frequent shingle may hold a large share of all documents: counts meet, not entries.
+    common = heads.select("id", "n", F.size("rare").alias("before"), F.posexplode("common").alias("at", "gram"))
+    common = common.select("gram", "id", (F.col("before") + F.col("at")).alias("at"), F.col("n").cast("int").alias("n"))
+    several = common.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
+    columns = materialize(rare.unionAll(common.join(several, "gram", "left_semi")), "columns")
+    shared = materialize(columns.groupBy("id").agg(F.collect_list("gram").alias("grams")).join(about, "id"), "shared")
+
+    lengths = columns.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > LONG)
+    long = materialize(columns.join(lengths.select("gram"), "gram", "left_semi"), "long")
+    links, tried, known = [], [], None
+    for turn in range(ROUNDS):
+        asked = _ask(long, known, percent, turn)
+        for before in tried:
+            asked = asked.join(before, ["a", "b"], "left_anti")
+        asked = materialize(asked, "asked")
+        tried.append(asked)
+        found = _verify(materialize(_possible(asked, shared, percent), "pairs"), docs, percent)
+        if found.isEmpty():
+            break
+        links.append(found)
+        known = materialize(components(reduce(DataFrame.unionAll, links)), "known")
+
+    # What is left is multiplied between components.
+    mixed = _mixed(columns, known, percent).withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
+    # A pair that shares one of the columns just before this one, in the order of both, meets there too.
+    order = Window.partitionBy("id").orderBy("at")
+    mixed = mixed.withColumn("before", F.array_compact(F.array(*(F.lag("gram", k).over(order) for k in range(1, BEFORE + 1)))))
+    tiled = mixed.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.withColumn("t1", F.least("tile", "other")).withColumn("t2", F.greatest("tile", "other"))
-    side = lambda x: tiled.select("gram", "t1", "t2", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "p", "at", "component", "tile")))
-    product = side("a").join(side("b"), ["gram", "t1", "t2"]).where("id_a < id_b and component_a <> component_b and (t1 = t2 or tile_a <> tile_b)")
-    needed = _needed(F.col("n_a") + F.col("n_b"), percent)
-    most = F.least("at_a", "at_b") + 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
-    product = product.where(fits(F.col("n_a"), F.col("n_b"))).where(most >= needed)
-    overlap = product.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count("*").alias("c"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.first("p_a").alias("p_a"), F.first("p_b").alias("p_b"))
-    second = overlap.where(F.col("c") + F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= needed).select("a", "b")
-    second = materialize(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    final = known
+    side = lambda x: tiled.select("gram", "t1", "t2", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "at", "n", "component", "before", "tile")))
+    product = side("a").join(side("b"), ["gram", "t1", "t2"]).where("component_a <> component_b and id_a < id_b and (t1 = t2 or tile_a <> tile_b)")
+    product = product.where(_meet("at_a", "n_a", "at_b", "n_b", percent)).where(~F.arrays_overlap("before_a", "before_b"))
+    product = materialize(product.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "product")
+    second = materialize(_possible(product, shared, percent), "pairs")
     if not second.isEmpty():
-        final = materialize(components(linked.unionAll(_verify(second, docs, percent))), "known")
-    for x in (columns, named, first, second):
+        links.append(_verify(second, docs, percent))
+        known = materialize(components(reduce(DataFrame.unionAll, links)), "known")
+    for x in (about, columns, long, shared, product, second, *tried):
         discard(x)
+    final = known if known is not None else spark.createDataFrame([], "node long, component long")
 
     named_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
     # Only texts with words join; the rest would all meet under the print of the empty set.
-    found = rows.where("n > 0").join(named_class, "print").select("id", "n", "component")
+    found = rows.where("n > 0").select("id", "n", "print").join(named_class, "print").select("id", "n", "component")
     out = found.unionAll(rows.where("n = 0").select("id", "n", F.col("id").alias("component")))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
