@@ -148,9 +148,9 @@ def box_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LABELS = (
-    "labels_by_tile AS (SELECT p_partkey % 50 AS tile, p_partkey AS ordinal, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) ELSE split_part(p_name, ' ', 1) END AS label, "
+    "labels_by_tile AS (SELECT p_partkey // 40 AS tile, p_partkey AS ordinal, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) ELSE split_part(p_name, ' ', 1) END AS label, "
     "10.75::DOUBLE + (p_partkey % 7) * 0.0001::DOUBLE AS lat, 106.7::DOUBLE AS lng, 'dom' AS source FROM part), "
-    "own AS (SELECT p_partkey AS poi, p_partkey * 7 % 50 AS tile, p_name AS name, 10.75::DOUBLE + (p_partkey % 5) * 0.0001::DOUBLE AS lat, 106.7::DOUBLE AS lng FROM part)"
+    "own AS (SELECT p_partkey AS poi, (p_partkey + 20) // 40 AS tile, p_name AS name, 10.75::DOUBLE + (p_partkey % 5) * 0.0001::DOUBLE AS lat, 106.7::DOUBLE AS lng FROM part)"
 )
 
 
@@ -158,8 +158,8 @@ def _labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     label = F.when(key % 3 == 0, F.col("p_name")).when(key % 3 == 1, F.upper("p_name")).otherwise(F.element_at(F.split("p_name", " "), 1))
-    labels = part.select((key % 50).alias("tile"), key.alias("ordinal"), label.alias("label"), (10.75 + (key % 7) * F.lit(0.0001)).alias("lat"), F.lit(106.7).alias("lng"), F.lit("dom").alias("source"))
-    own = part.select(key.alias("poi"), (key * 7 % 50).alias("tile"), F.col("p_name").alias("name"), (10.75 + (key % 5) * F.lit(0.0001)).alias("lat"), F.lit(106.7).alias("lng"))
+    labels = part.select(F.expr("p_partkey div 40").alias("tile"), key.alias("ordinal"), label.alias("label"), (10.75 + (key % 7) * F.lit(0.0001)).alias("lat"), F.lit(106.7).alias("lng"), F.lit("dom").alias("source"))
+    own = part.select(key.alias("poi"), F.expr("(p_partkey + 20) div 40").alias("tile"), F.col("p_name").alias("name"), (10.75 + (key % 5) * F.lit(0.0001)).alias("lat"), F.lit(106.7).alias("lng"))
     return own, labels
 
 
@@ -208,11 +208,11 @@ _NEW = "regexp_replace(lower(q_name), '[^a-z0-9]+', '', 'g')"
 @query(
     f"""SELECT poi, candidate, CAST(gain AS INTEGER) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY poi ORDER BY gain DESC, ordinal) AS rn FROM
     (SELECT poi, ordinal, candidate, length(n) - length(o) + CASE WHEN contains(n, o) OR contains(o, n) THEN 20 ELSE 0 END + CASE WHEN length(o) >= 8 AND length(n) >= 8 AND left(o, 8) = left(n, 8) THEN 12 ELSE 0 END AS gain, n, o
-     FROM (SELECT a.p_partkey AS poi, b.p_partkey AS ordinal, b.p_name AS candidate, {_OLD.replace('p_name', 'a.p_name')} AS o, {_NEW.replace('q_name', 'b.p_name')} AS n FROM part a JOIN part b ON a.p_partkey % 40 = b.p_partkey % 40)
+     FROM (SELECT a.p_partkey AS poi, b.p_partkey AS ordinal, b.p_name AS candidate, {_OLD.replace('p_name', 'a.p_name')} AS o, {_NEW.replace('q_name', 'b.p_name')} AS n FROM part a JOIN part b ON a.p_partkey // 40 = b.p_partkey // 40)
      WHERE o <> '' AND n <> '' AND NOT starts_with(n, 'unknown') AND (length(n) > length(o) + 2 OR contains(n, o) OR contains(o, n))) WHERE gain > 0) WHERE rn = 1"""
 )
 def rescue_candidate_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), (F.col("p_partkey") % 40).alias("tile"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.expr("p_partkey div 40").alias("tile"))
     pairs = part.select("tile", F.col("k").alias("poi"), F.left("name", F.lit(9)).alias("old_name")).join(part.select("tile", F.col("k").alias("ordinal"), F.col("name").alias("candidate")), "tile")
     return matching.pick_rescue(pairs, "poi")
 
