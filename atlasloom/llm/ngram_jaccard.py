@@ -36,7 +36,7 @@ from .components import components
 SHINGLE = 5
 PERCENT = 75
 CELLS = 1 << 22  # of the frequency sketch, which only orders shingles
-BLOCK = 2_000_000  # entries of the matrix in a block of columns, about
+BLOCK = 1_000_000  # entries of the matrix in a block of columns, about
 TILE = 512  # documents of one column that a task multiplies with as many others
 LOT = 1000  # partners of one document that meet it in one task
 PIECE = 1 << 22  # bytes of text whose words are hashed at once
@@ -175,27 +175,34 @@ def _deal(blocks: int):
     return deal
 
 
+_PARTS = {"lows": np.uint32, "places": np.int32, "ids": np.int64, "sizes": np.int32, "counts": np.int32}
+
+
 def _several(batches):
-    """The columns of whole blocks that have several entries."""
-    kinds = {"lows": np.uint32, "places": np.int32, "ids": np.int64, "sizes": np.int32, "counts": np.int32}
-    parts: dict[str, list[np.ndarray]] = {k: [] for k in kinds}
-    blocks = []
+    """The columns that have several entries, one block after the other; rows come in order of their blocks."""
+    now, parts = None, {k: [] for k in _PARTS}
     for batch in batches:
-        for name, kind in kinds.items():
-            parts[name] += [np.frombuffer(x, dtype=kind) for x in batch.column(name).to_pylist()]
-        blocks += batch.column("block").to_pylist()
-    if not blocks:
+        for k, block in enumerate(batch.column("block").to_pylist()):
+            if block != now:
+                yield from _block(now, parts)
+                now, parts = block, {k: [] for k in _PARTS}
+            for name, kind in _PARTS.items():
+                parts[name].append(np.frombuffer(batch.column(name)[k].as_py(), dtype=kind))
+    yield from _block(now, parts)
+
+
+def _block(block: int | None, parts: dict[str, list[np.ndarray]]):
+    if block is None:
         return
-    gram = np.concatenate([low.astype(np.int64) | block << 32 for low, block in zip(parts.pop("lows"), blocks, strict=True)])
-    place, ids, sizes, counts = (np.concatenate(parts.pop(k)) for k in ("places", "ids", "sizes", "counts"))
-    order = np.argsort(gram, kind="stable")
-    same = gram[order[1:]] == gram[order[:-1]]
-    keep = np.zeros(len(gram), dtype=bool)
+    low, place, ids, sizes, counts = (np.concatenate(parts.pop(k)) for k in _PARTS)
+    order = np.argsort(low, kind="stable")
+    same = low[order[1:]] == low[order[:-1]]
+    keep = np.zeros(len(low), dtype=bool)
     keep[1:] |= same
     keep[:-1] |= same
     order = order[keep]
     doc = np.repeat(np.arange(len(ids)), counts)[order]
-    gram, place = gram[order], place[order]
+    gram, place = low[order].astype(np.int64) | block << 32, place[order]
     for at in range(0, len(gram), 100_000):
         part = slice(at, at + 100_000)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram[part], ids[doc[part]], place[part], sizes[doc[part]])], ["gram", "id", "at", "n"])
@@ -220,10 +227,10 @@ def _attach(pairs: DataFrame, values: DataFrame) -> DataFrame:
     that no task gets all partners of a document that very many others are compared with."""
     packed = values.select("id", F.struct(*(c for c in values.columns if c != "id")).alias("v"))
     lots = pairs.groupBy("a").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
-    left = packed.join(lots.withColumnRenamed("a", "id"), "id").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
-    right = pairs.join(lots, "a").join(packed.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-    right = right.withColumn("lot", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int"))
-    return right.join(left.select(F.col("id").alias("a"), "lot", F.col("v").alias("va")), ["a", "lot"]).select("a", "b", "va", "vb")
+    dealt = pairs.join(lots, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int").alias("lot"))
+    left = packed.join(small(lots.withColumnRenamed("a", "id"), IDS), "id").select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.col("v").alias("va"))
+    right = packed.select(F.col("id").alias("b"), F.col("v").alias("vb")).join(small(dealt, IDS), "b")
+    return right.join(left, ["a", "lot"]).select("a", "b", "va", "vb")
 
 
 def _possible(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
@@ -233,7 +240,7 @@ def _possible(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     n_a, n_b = F.col("va.n"), F.col("vb.n")
     rest = F.greatest(n_a - F.col("va.p"), n_b - F.col("vb.p"))
     near = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
-    common = F.size(F.array_intersect("va.grams", "vb.grams"))
+    common = F.size(F.array_intersect("va.grams", "vb.grams")) + F.col("va.twins")
     return both.where(near & (common + rest >= _needed(n_a, n_b, percent))).select("a", "b")
 
 
@@ -287,6 +294,13 @@ def _ask(columns: DataFrame, known: DataFrame | None, percent: int, turn: int) -
     return asked.select(F.col("hub").alias("a"), F.col("id").alias("b"))
 
 
+def _near_sizes(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sizes allow the Jaccard asked for."""
+    size = lambda x: small(about.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}")), IDS)
+    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return pairs.join(size("a"), "a").join(size("b"), "b").where(near).select("a", "b")
+
+
 def ngram_jaccard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Components of the documents under Jaccard >= percent/100 of their sets of word 5-shingles.
 
@@ -313,19 +327,22 @@ def ngram_jaccard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     entries = heads.agg(F.sum(F.size("rare"))).first()[0] or 0
     blocks = max(1, -(-entries // BLOCK))
     dealt = heads.select("id", "rare", "n").mapInArrow(_deal(blocks), "block int, lows binary, places binary, ids binary, sizes binary, counts binary")
-    rare = dealt.repartition(blocks, "block").mapInArrow(_several, "gram long, id long, at int, n int")
+    rare = dealt.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_several, "gram long, id long, at int, n int")
     # A column of a frequent shingle may hold a large share of all documents: counts meet, not entries.
     common = heads.select("id", "n", F.size("rare").alias("before"), F.posexplode("common").alias("at", "gram"))
     common = common.select("gram", "id", (F.col("before") + F.col("at")).alias("at"), F.col("n").cast("int").alias("n"))
     several = common.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
     columns = materialize(rare.unionAll(common.join(several, "gram", "left_semi")), "columns")
-    shared = materialize(columns.groupBy("id").agg(F.collect_list("gram").alias("grams")).join(about, "id"), "shared")
+    # Halves of shingles are enough to count what prefixes share at most; twins counts a document's equal halves.
+    half = F.expr("cast(gram & 2147483647 as int)")
+    shared = columns.groupBy("id").agg(F.collect_list(half).alias("grams")).withColumn("twins", F.size("grams") - F.size(F.array_distinct("grams")))
+    shared = materialize(shared.join(small(about, IDS), "id"), "shared")
 
     lengths = columns.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > LONG)
     long = materialize(columns.join(lengths.select("gram"), "gram", "left_semi"), "long")
     links, tried, known = [], [], None
     for turn in range(ROUNDS):
-        asked = _ask(long, known, percent, turn)
+        asked = _near_sizes(_ask(long, known, percent, turn), about, percent)
         for before in tried:
             asked = asked.join(before, ["a", "b"], "left_anti")
         asked = materialize(asked, "asked")
