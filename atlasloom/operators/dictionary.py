@@ -50,7 +50,9 @@ def context_rewrites(words: DataFrame, text: str = "doc_id") -> DataFrame:
     rules = F.broadcast(_rules(words.sparkSession))  # a few dozen built-in rows
     hits = keyed.where(~brand_token(F.col("word"))).join(rules, F.col("key") == F.col("base")).select(text, "at", "word", "spelled", "near")
     around = keyed.select(text, F.col("at").alias("other"), F.col("key").alias("near"), F.col("word").alias("other_word"))
-    near = hits.join(around, [text, "near"]).where((F.col("other") != F.col("at")) & (F.abs(F.col("other") - F.col("at")) <= WINDOW))
+    # By position, so that a long text costs its length and not its square.
+    hits = hits.withColumn("other", F.explode(F.array(*(F.col("at") + k for k in range(-WINDOW, WINDOW + 1) if k))))
+    near = hits.join(around, [text, "other", "near"])
     found = near.select(text, "at", "word", "spelled").distinct()
     before = keyed.select(text, (F.col("at") + 1).alias("at"), F.col("word").alias("previous"))
     out = found.join(before, [text, "at"], "left")
@@ -63,10 +65,9 @@ def phrase_hits(words: DataFrame, text: str = "doc_id") -> DataFrame:
     phrases = [(" ".join(s), " ".join(t), len(s)) for s, t in PHRASES]
     listed = F.broadcast(words.sparkSession.createDataFrame(phrases, "phrase string, spelled string, n int"))
     grouped = words.groupBy(text).agg(F.sort_array(F.collect_list(F.struct("at", fold(F.col("word")).alias("k"), "word"))).alias("w"))
-    at = F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i")
-    placed = grouped.select(text, "w", at).withColumn("n", F.explode(F.array(*map(F.lit, sorted({n for *_, n in phrases})))))
-    span = F.slice("w", F.col("i") + 1, F.col("n"))
-    gram = placed.where(F.col("i") + F.col("n") <= F.size("w")).select(text, "n", F.get("w", F.col("i"))["at"].alias("at"), span.alias("span"))
+    sized = grouped.withColumn("n", F.explode(F.array(*map(F.lit, sorted({n for *_, n in phrases}))))).where(F.col("n") <= F.size("w"))
+    spans = F.transform(F.sequence(F.lit(0), F.size("w") - F.col("n")), lambda i: F.slice("w", i + 1, F.col("n")))
+    gram = sized.select(text, "n", F.explode(spans).alias("span")).select(text, "n", F.col("span")[0]["at"].alias("at"), "span")
     gram = gram.withColumn("phrase", F.array_join(F.transform("span", lambda x: x["k"]), " ")).where(~F.exists("span", lambda x: brand_token(x["word"])))
     return gram.join(listed, ["phrase", "n"]).select(text, "at", "phrase", "spelled")
 

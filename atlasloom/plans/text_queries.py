@@ -53,7 +53,7 @@ def area_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, regexp_replace({fold_sql('label')}, '[^a-z0-9]+', '', 'g') AS name_key, regexp_replace({fold_sql('label')}, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS clean_name FROM names", NAMES)
 def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names(spark, sf_dir).select("doc_id", t.name_key(F.col("label")).alias("name_key"), t.clean_name(F.col("label")).alias("clean_name"))
+    return names(spark, sf_dir).select("doc_id", "name_no", t.name_key(F.col("label")).alias("name_key"), t.clean_name(F.col("label")).alias("clean_name"))
 
 
 @query(f"SELECT doc_id, \"at\", CASE WHEN {upper_sql('word')} THEN upper('Chợ bến') WHEN regexp_matches(word, '^\\p{{Ll}}') THEN 'chợ bến' ELSE 'Chợ bến' END AS cased FROM words", WORDS)
@@ -95,7 +95,7 @@ _RATING = r"^.*?\([0-9]+(?:[.,][0-9]+)?\s*[KkM]?[+-]?\)\s*(?:[-·•*]\s*)?"
 
 @query(f"SELECT doc_id, regexp_replace(label, {q(_RATING)}, '') AS name FROM names", NAMES)
 def rating_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names(spark, sf_dir).select("doc_id", t.strip_rating_prefix(F.col("label")).alias("name"))
+    return names(spark, sf_dir).select("doc_id", "name_no", t.strip_rating_prefix(F.col("label")).alias("name"))
 
 
 def _tail(c: str) -> str:
@@ -110,13 +110,13 @@ _NOTED = "CASE doc_id % 4 WHEN 0 THEN label || ' 4,5 ( 12 ) ' WHEN 1 THEN label
 def tail_notes_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 4
     note = F.when(k == 0, " 4,5 ( 12 ) ").when(k == 1, " Open 10:30 PM").when(k == 2, " closed 9 00 4.5 (3)").otherwise("")
-    return names(spark, sf_dir).select("doc_id", t.strip_tail_notes(F.concat("label", note)).alias("name"))
+    return names(spark, sf_dir).select("doc_id", "name_no", t.strip_tail_notes(F.concat("label", note)).alias("name"))
 
 
 @query(f"SELECT doc_id, {collapse_sql('string_split(label, ' + q(' / ') + ')[1]')} AS main, {collapse_sql('array_to_string(string_split(label, ' + q(' / ') + ')[2:], ' + q(' / ') + ')')} AS sub FROM names", NAMES)
 def name_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     main, sub = t.split_name(F.col("label"))
-    return names(spark, sf_dir).select("doc_id", main.alias("main"), sub.alias("sub"))
+    return names(spark, sf_dir).select("doc_id", "name_no", main.alias("main"), sub.alias("sub"))
 
 
 @query(f"SELECT doc_id, line_no, CASE WHEN x = '' THEN 'Unknown' ELSE x END AS file FROM (SELECT doc_id, line_no, {strip_sql('replace(regexp_replace(line, ' + q(chr(91) + chr(92) * 2 + '/*?:' + chr(34) + '<>|' + chr(93)) + ', chr(39)[0:0], chr(103)), chr(32), chr(95))')} AS x FROM lines)", LINES)
@@ -248,7 +248,7 @@ _L = all_sql("label", t.TOKEN)
     NAMES,
 )
 def brand_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names(spark, sf_dir).select("doc_id", p.brand_sensitive(F.col("label")).alias("sensitive"), p.brand_tokens(t.tokens(F.col("label"))).alias("brand"))
+    return names(spark, sf_dir).select("doc_id", "name_no", p.brand_sensitive(F.col("label")).alias("sensitive"), p.brand_tokens(t.tokens(F.col("label"))).alias("brand"))
 
 
 @query(
@@ -275,7 +275,7 @@ def edge_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def edge_segments_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names(spark, sf_dir).select("doc_id", p.clean_edge_segments(F.col("label")).alias("cleaned"), p.junk_token_count(F.col("label")).alias("n_junk"))
+    return names(spark, sf_dir).select("doc_id", "name_no", p.clean_edge_segments(F.col("label")).alias("cleaned"), p.junk_token_count(F.col("label")).alias("n_junk"))
 
 
 _TONE = " + ".join(f"{score} * len({all_sql('lower(word)', '[' + chars + ']')})" for chars, score in sc.TONES)
@@ -299,7 +299,7 @@ def _artifacts(s: str) -> str:
 
 @query(f"SELECT doc_id, CAST({_artifacts('label')} AS INTEGER) AS score FROM names", NAMES)
 def artifact_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names(spark, sf_dir).select("doc_id", sc.artifact_score(F.col("label")).alias("score"))
+    return names(spark, sf_dir).select("doc_id", "name_no", sc.artifact_score(F.col("label")).alias("score"))
 
 
 _BENCH = "bench AS (SELECT item_id, array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ') AS b FROM benchmark)"
@@ -320,10 +320,15 @@ def distance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT a.doc_id, {fold_sql('a.label')} <> '' AND contains(' ' || array_to_string({all_sql(fold_sql('a.label'), '[a-z0-9]+')}, ' ') || ' ', ' ' || array_to_string({all_sql(fold_sql('b.label'), '[a-z0-9]+')}[1:2], ' ') || ' ') AS contains, len(list_intersect({all_sql(fold_sql('a.label'), '[a-z0-9]+')}, {all_sql(fold_sql('b.label'), '[a-z0-9]+')})) = 0 AS unrelated FROM names a JOIN names b ON b.doc_id = a.doc_id + 1 WHERE len({all_sql(fold_sql('b.label'), '[a-z0-9]+')}) > 0 AND len({all_sql(fold_sql('a.label'), '[a-z0-9]+')}) > 0", NAMES)
 def token_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = names(spark, sf_dir)
-    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("label").alias("other"))
-    both = a.join(b, "doc_id").where((F.size(t.ascii_tokens(F.col("label"))) > 0) & (F.size(t.ascii_tokens(F.col("other"))) > 0))
-    return both.select("doc_id", t.contains_run(t.ascii_tokens(F.col("label")), F.slice(t.ascii_tokens(F.col("other")), 1, 2)).alias("contains"), t.unrelated(F.col("label"), F.col("other")).alias("unrelated"))
+    """Names of neighbouring documents, side by side; the shorter list starts again until the longer one ends."""
+    n = names(spark, sf_dir)
+    counts = n.groupBy("doc_id").agg(F.count("*").alias("n"))
+    turns = counts.join(counts.select((F.col("doc_id") - 1).alias("doc_id"), F.col("n").alias("m")), "doc_id")
+    turns = turns.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("n", "m") - 1)))
+    turns = turns.select("doc_id", "turn", (F.col("turn") % F.col("n")).alias("name_no"), (F.col("turn") % F.col("m")).alias("other_no"))
+    b = n.select((F.col("doc_id") - 1).alias("doc_id"), F.col("name_no").alias("other_no"), F.col("label").alias("other"))
+    both = turns.join(n, ["doc_id", "name_no"]).join(b, ["doc_id", "other_no"]).where((F.size(t.ascii_tokens(F.col("label"))) > 0) & (F.size(t.ascii_tokens(F.col("other"))) > 0))
+    return both.select("doc_id", "turn", t.contains_run(t.ascii_tokens(F.col("label")), F.slice(t.ascii_tokens(F.col("other")), 1, 2)).alias("contains"), t.unrelated(F.col("label"), F.col("other")).alias("unrelated"))
 
 
 @query(f"SELECT doc_id, \"at\", word, {fold_sql('word')} IN (SELECT unnest(list_transform({all_sql('text', t.TOKEN_AMP)}, lambda w: {fold_sql('w')})) FROM benchmark) AS is_known FROM words", WORDS)
@@ -341,7 +346,8 @@ _MARKS = f"len(list_filter(g, lambda w: {LISTED('w')}))"
     NAMES,
 )
 def phrase_ngram_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.phrase_ngrams(names(spark, sf_dir), "label", "doc_id")
+    """Over whole texts: phrases also run from one label into the next."""
+    return d.phrase_ngrams(table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
 #: Words of the test tables renamed to those of the built-in rules, every 5th in capitals.
@@ -405,7 +411,7 @@ _COUNTS = f"counts AS (SELECT {fold_sql('word')} AS key, sum(1 + doc_id % 3) AS
 
 @query(f"SELECT key, CAST(weight AS BIGINT) AS weight, word FROM counts", WORDS, _COUNTS)
 def spelling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    even = words(spark, sf_dir).where("doc_id % 2 = 0").select((F.col("doc_id") * 24 + F.col("at")).alias("ordinal"), "word", (1 + F.col("doc_id") % 3).alias("weight"))
+    even = words(spark, sf_dir).where("doc_id % 2 = 0").select((F.col("doc_id").cast("decimal(20,0)") * (1 << 32) + F.col("at")).alias("ordinal"), "word", (1 + F.col("doc_id") % 3).alias("weight"))
     return d.spelling_counts(even)
 
 
@@ -416,24 +422,24 @@ def edit_distance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clean_final_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names(spark, sf_dir).select("doc_id", rp.clean_final(rp.ship(spark))(F.col("label")).alias("name"))
+    return names(spark, sf_dir).select("doc_id", "name_no", rp.clean_final(rp.ship(spark))(F.col("label")).alias("name"))
 
 
 @query()
 def clean_spelling_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names(spark, sf_dir).select("doc_id", rp.clean_spelling(rp.ship(spark))(F.col("label")).alias("name"))
+    return names(spark, sf_dir).select("doc_id", "name_no", rp.clean_spelling(rp.ship(spark))(F.col("label")).alias("name"))
 
 
 @query()
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     shipped = rp.ship(spark)
-    return names(spark, sf_dir).select("doc_id", rp.quality(shipped)(F.col("label")).alias("quality"), rp.needs_rescue(shipped)(F.col("label")).alias("needs_rescue"))
+    return names(spark, sf_dir).select("doc_id", "name_no", rp.quality(shipped)(F.col("label")).alias("quality"), rp.needs_rescue(shipped)(F.col("label")).alias("needs_rescue"))
 
 
 @query()
 def two_tier_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = F.col("label")
+    label, key = F.col("label"), F.struct("doc_id", "name_no").alias("key")
     n = names(spark, sf_dir)
-    first = n.select("doc_id", label.alias("text"), F.lit(2).alias("lines"))
-    more = n.select("doc_id", label.alias("masked"), F.concat(F.lit("Quán "), label).alias("unmasked"), F.upper(label).alias("normalized"))
-    return rp.read_labels(first, more, rp.ship(spark), "doc_id")
+    first = n.select(key, label.alias("text"), F.lit(2).alias("lines"))
+    more = n.select(key, label.alias("masked"), F.concat(F.lit("Quán "), label).alias("unmasked"), F.upper(label).alias("normalized"))
+    return rp.read_labels(first, more, rp.ship(spark), "key").select("key.*", "name", "way")

@@ -70,8 +70,8 @@ LINES = "lines AS (SELECT doc_id, CAST(unnest(range(len(p))) AS INTEGER) AS line
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 24 words of each document."""
-    found = F.slice(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), 1, 24)
+    """All words of each document. WORDS still stops at the 24th."""
+    found = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("at", "word"))
 
 
@@ -82,11 +82,15 @@ WORDS = (
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A label for each document: three words, a slash, and two more; every seventh has a rating before it."""
+    """A label for every five words of each document, numbered by name_no: three words, a slash, and two more; in every
+    seventh document with a rating before it. A document without words has one label. NAMES still has the first label only."""
     w = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
-    label = F.concat_ws(" / ", F.array_join(F.slice(w, 1, 3), " "), F.array_join(F.slice(w, 4, 2), " "))
+    found = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", w.alias("w"))
+    groups = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(5)), lambda i: F.slice("w", i + 1, 5))
+    found = found.select("doc_id", F.posexplode(groups).alias("name_no", "g"))
+    label = F.concat_ws(" / ", F.array_join(F.slice("g", 1, 3), " "), F.array_join(F.slice("g", 4, 2), " "))
     label = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("4.5 (12K) · "), label)).otherwise(label)
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", label.alias("label"))
+    return found.select("doc_id", "name_no", label.alias("label"))
 
 
 NAMES = (

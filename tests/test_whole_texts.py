@@ -1,0 +1,61 @@
+"""Registered text queries over whole texts, against plain loops. Their SQL still stops after some words."""
+
+from collections import Counter
+
+import pytest
+
+from atlasloom.functions.lexicon import fold
+from atlasloom.plans import views
+from atlasloom.plans.registry import QUERIES
+
+MARKED_AT = 33
+
+
+def texts() -> dict[int, str]:
+    out = {k: " ".join(f"w{'abcdefghij'[(k + i) % 10]}{'xyz'[i % 3]}o" for i in range(40 + k)) for k in range(12)}
+    words = out[4].split(" ")
+    out[4] = " ".join([*words[:MARKED_AT], "phở", "ngon", *words[MARKED_AT:]])
+    return out | {12: ""}
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("whole"))
+    rows = [(k, x, "en", "web", len(x)) for k, x in texts().items()]
+    spark.createDataFrame([*rows, (13, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def test_words_and_names_hold_all_words(spark, folder):
+    words = {(r.doc_id, r["at"]): r.word for r in views.words(spark, folder).collect()}
+    assert words == {(k, i): w for k, x in texts().items() for i, w in enumerate(x.split())}
+    names = {(r.doc_id, r.name_no): r.label for r in views.names(spark, folder).collect()}
+    want = {}
+    for k, x in texts().items():
+        w = x.split()
+        for n in range(max(1, -(-len(w) // 5))):
+            own = w[5 * n : 5 * n + 5]
+            want[k, n] = "4.5 (12K) · " * (k % 7 == 0) + " ".join(own[:3]) + " / " + " ".join(own[3:])
+    assert names == want
+
+
+def test_later_words_count(spark, folder):
+    best = {r.key: (r.spelling, r.marks) for r in QUERIES["phrase_ngram_best"](spark, folder).collect()}
+    w = texts()[4].split()
+    assert best[fold(" ".join(w[MARKED_AT - 1 : MARKED_AT + 2]))] == (" ".join(w[MARKED_AT - 1 : MARKED_AT + 2]), 1)
+    slugs = QUERIES["text_slugify"](spark, folder).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in slugs} == {k: len(x.split()) for k, x in texts().items() if x}
+    first = QUERIES["name_keys"](spark, folder).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in first} == {k: max(1, -(-len(x.split()) // 5)) for k, x in texts().items()}
+
+
+def test_runs_meet_every_name(spark, folder):
+    turns = Counter(r.doc_id for r in QUERIES["token_runs"](spark, folder).collect())
+    lengths = {k: max(1, -(-len(x.split()) // 5)) for k, x in texts().items()}
+    # A neighbour without words, and the one after it, give no rows.
+    assert turns == {k: max(n, lengths[k + 1]) for k, n in lengths.items() if k < 11}
+
+
+@pytest.mark.parametrize("name", ["contextual_rules", "phrase_hits", "two_tier_reading", "alias_rules", "edge_segments_cleaned"])
+def test_long_texts_run(spark, folder, name):
+    QUERIES[name](spark, folder).collect()
