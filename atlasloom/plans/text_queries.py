@@ -411,13 +411,18 @@ _COUNTS = f"counts AS (SELECT {fold_sql('word')} AS key, sum(1 + doc_id % 3) AS
 
 @query(f"SELECT key, CAST(weight AS BIGINT) AS weight, word FROM counts", WORDS, _COUNTS)
 def spelling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    even = words(spark, sf_dir).where("doc_id % 2 = 0").select((F.col("doc_id").cast("decimal(20,0)") * (1 << 32) + F.col("at")).alias("ordinal"), "word", (1 + F.col("doc_id") % 3).alias("weight"))
-    return d.spelling_counts(even)
+    """Over the words of all documents. _COUNTS still holds those of even documents only."""
+    weighted = words(spark, sf_dir).select((F.col("doc_id").cast("decimal(20,0)") * (1 << 32) + F.col("at")).alias("ordinal"), "word", (1 + F.col("doc_id") % 3).alias("weight"))
+    return d.spelling_counts(weighted)
 
 
 @query()
 def edit_distance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.closest_spellings(words(spark, sf_dir).where("doc_id % 2 = 1"), spelling_counts(spark, sf_dir))
+    """The words of all documents in the dictionary of all benchmark texts; one made of the same words would leave none unknown."""
+    found = F.regexp_extract_all("text", F.lit(t.TOKEN), F.lit(0))
+    listed = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(found).alias("at", "word"))
+    listed = listed.select((F.col("item_id").cast("decimal(20,0)") * (1 << 32) + F.col("at")).alias("ordinal"), "word", F.lit(1).alias("weight"))
+    return d.closest_spellings(words(spark, sf_dir), d.spelling_counts(listed))
 
 
 @query()

@@ -15,7 +15,7 @@ def texts() -> dict[int, str]:
     out = {k: " ".join(f"w{'abcdefghij'[(k + i) % 10]}{'xyz'[i % 3]}o" for i in range(40 + k)) for k in range(12)}
     words = out[4].split(" ")
     out[4] = " ".join([*words[:MARKED_AT], "phở", "ngon", *words[MARKED_AT:]])
-    return out | {12: ""}
+    return out | {12: "", 14: "watr hello phở", 15: "lemn hello phở phở"}
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +23,8 @@ def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("whole"))
     rows = [(k, x, "en", "web", len(x)) for k, x in texts().items()]
     spark.createDataFrame([*rows, (13, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    items = [(k, f"common{k % 3} phở {'abcdefghij'[k % 10]}q hello" if k else "water lemon lemon sugar") for k in range(60)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return path
 
 
@@ -52,10 +54,26 @@ def test_later_words_count(spark, folder):
 def test_runs_meet_every_name(spark, folder):
     turns = Counter(r.doc_id for r in QUERIES["token_runs"](spark, folder).collect())
     lengths = {k: max(1, -(-len(x.split()) // 5)) for k, x in texts().items()}
-    # A neighbour without words, and the one after it, give no rows.
-    assert turns == {k: max(n, lengths[k + 1]) for k, n in lengths.items() if k < 11}
+    # A neighbour without words gives no rows.
+    assert turns == {k: max(n, lengths[k + 1]) for k, n in lengths.items() if k + 1 in lengths and 12 not in (k, k + 1)}
 
 
 @pytest.mark.parametrize("name", ["contextual_rules", "phrase_hits", "two_tier_reading", "alias_rules", "edge_segments_cleaned"])
 def test_long_texts_run(spark, folder, name):
     QUERIES[name](spark, folder).collect()
+
+
+def test_spellings_of_all_documents(spark, folder):
+    got = {r.key: (r.weight, r.word) for r in QUERIES["spelling_counts"](spark, folder).collect()}
+    weight, first = Counter(), {}
+    for k, x in sorted(texts().items()):
+        for w in x.split():
+            weight[fold(w)] += 1 + k % 3
+            first.setdefault(fold(w), w)
+    assert got == {key: (n, first[key]) for key, n in weight.items()}
+
+
+def test_words_of_all_documents_are_looked_up(spark, folder):
+    got = {r.word: (r.spelled, r.distance) for r in QUERIES["edit_distance_lookup"](spark, folder).collect()}
+    # One stands in an even document only, the other in an odd one.
+    assert got["watr"] == ("water", 1) and got["lemn"] == ("lemon", 1) and "hello" not in got
