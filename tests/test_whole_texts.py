@@ -1,5 +1,6 @@
 """Registered text queries over whole texts, against plain loops. Their SQL still stops after some words."""
 
+import re
 from collections import Counter
 
 import pytest
@@ -77,3 +78,18 @@ def test_words_of_all_documents_are_looked_up(spark, folder):
     got = {r.word: (r.spelled, r.distance) for r in QUERIES["edit_distance_lookup"](spark, folder).collect()}
     # One stands in an even document only, the other in an odd one.
     assert got["watr"] == ("water", 1) and got["lemn"] == ("lemon", 1) and "hello" not in got
+
+
+def test_names_meet_all_benchmark_items(spark, folder):
+    token = re.compile(views.TOKEN)
+    split = lambda x: Counter(fold(w) for w in token.findall(x))
+    names = {(r.doc_id, r.name_no): split(r.label) for r in views.names(spark, folder).collect()}
+    items = {r.item_id: split(r.text) for r in views.table(spark, folder, "benchmark").collect()}
+    want = {}
+    for k, a in names.items():
+        for item, b in items.items():
+            if shared := (a & b).total():
+                want[*k, item] = round(2 * shared / (a.total() + b.total()), 6)
+    got = {(r.doc_id, r.name_no, r.item_id): r.f1 for r in QUERIES["token_f1"](spark, folder).collect()}
+    assert got.keys() == want.keys() and max(k[2] for k in got) == 59
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
