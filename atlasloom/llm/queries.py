@@ -68,15 +68,13 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites are the hosts and first path segments of pages; a document without a page has its source for a host."""
+    """Sites are the hosts and first path segments of all pages that show a document; a document without a page has its source for a host."""
     pages = table(spark, sf_dir, "pages").select(F.col("url").alias("__url"))
     host, path = host_and_path(F.col("__url"))
     sites = pages.select(F.expr("try_cast(regexp_extract(__url, '/([0-9]{1,18})(?:[.]html)?/?(?:[?#].*)?$', 1) as bigint)").alias("doc_id"), host.alias("host"), F.regexp_extract(path, "^/?([^/]*)", 1).alias("path"))
-    sites = sites.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("host", "path")).alias("site"))
-    docs = table(spark, sf_dir, "documents").join(sites, "doc_id", "left")
-    docs = docs.select("doc_id", "text", F.coalesce("site.host", F.concat(F.lit("source:"), "source")).alias("host"), F.coalesce("site.path", "lang").alias("path"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("source:"), "source").alias("host"), F.col("lang").alias("path"))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good"))
-    return site_bayes(docs, labels)
+    return site_bayes(docs, labels, sites=sites)
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 A document's own evidence comes from a naive Bayes model over words and word shapes, cross-fitted
 in two folds and calibrated by a logistic regression. Sites add theirs: the rate of good
 documents of a host is shrunk toward the corpus, that of a path toward its host, with strengths
-estimated from the spread between sites, and a document's log odds move by what its path's
-log odds differ from the corpus's.
+estimated from the spread between sites, and a document's log odds move, for each of its hosts, by
+what the log odds of its paths there differ from the corpus's on average.
 """
 
 from __future__ import annotations
@@ -126,8 +126,11 @@ def _strength(groups: DataFrame, rate: Column) -> float:
     return float(min(MOST_STRENGTH, max(1.0, 1 / excess - 1))) if excess > 0 else MOST_STRENGTH
 
 
-def site_bayes(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "host", path: str = "path") -> DataFrame:
+def site_bayes(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "host", path: str = "path", sites: DataFrame | None = None) -> DataFrame:
     """Score every document; labels(doc_id, good) covers some. host and path may be null (one site).
+    sites(doc_id, host, path) holds all sites of the documents that stand on pages; those it has none for
+    stand on their own host and path. A document counts once in each of its paths and of its hosts; its
+    host_rate and path_rate are the means over them.
 
     Returns doc_id, evidence (the document's own probability of being good), host_rate, path_rate,
     score, kept (score >= 0.5). A null or wordless text has features 0. Documents labelled twice
@@ -160,17 +163,34 @@ def site_bayes(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
     weight = F.when(F.col("good").isNull(), SOFT).otherwise(1.0)
     k = weight * F.coalesce(F.col("good").cast("double"), F.col("evidence"))
-    paths = materialize(own.groupBy("host", "path").agg(F.sum(weight).alias("n"), F.sum(k).alias("k")), "paths")
-    hosts = materialize(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "hosts")
-    whole = hosts.agg(F.try_divide(F.sum("k"), F.sum("n")).alias("rate")).first().rate or 0.5
+    own = own.withColumn("n", weight).withColumn("k", k)
+    whole = own.agg(F.try_divide(F.sum("k"), F.sum("n")).alias("rate")).first().rate or 0.5
     whole = min(max(whole, 1e-6), 1 - 1e-6)
+    if sites is None:
+        sites = own.select("doc_id", "host", "path").limit(0)
+    sites = sites.where("doc_id is not null").select("doc_id", F.coalesce("host", F.lit("")).alias("on_host"), F.coalesce("path", F.lit("")).alias("on_path")).distinct()
+    part = sites.groupBy("doc_id", "on_host").agg((1 / F.count("*")).alias("part"))
+    # part: of a document's weight on a host, what one of its paths there has.
+    sites = materialize(sites.join(part, ["doc_id", "on_host"]), "sites")
+    stood = own.join(small(sites, ROWS), "doc_id", "left")
+    at_path = F.when(F.col("on_host").isNull(), F.col("path")).otherwise(F.col("on_path"))
+    stood = stood.select(F.coalesce("on_host", "host").alias("host"), at_path.alias("path"), F.coalesce("part", F.lit(1.0)).alias("part"), "n", "k")
+    paths = stood.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.col("n") * F.col("part")).alias("host_n"), F.sum(F.col("k") * F.col("part")).alias("host_k"))
+    paths = materialize(paths, "paths")
+    hosts = materialize(paths.groupBy("host").agg(F.sum("host_n").alias("n"), F.sum("host_k").alias("k")), "hosts")
+    paths = paths.drop("host_n", "host_k")
     m = _strength(hosts, F.lit(whole))
     hosts = hosts.select("host", ((F.col("k") + m * whole) / (F.col("n") + m)).alias("host_rate"))
     joined = paths.join(small(hosts, ROWS), "host")
     m = _strength(joined, F.col("host_rate"))
     rates = joined.select("host", "path", "host_rate", ((F.col("k") + m * F.col("host_rate")) / (F.col("n") + m)).alias("path_rate"))
-    out = own.join(small(rates, ROWS), ["host", "path"])
-    shift = _logit(F.col("path_rate")) - _logit(F.lit(whole))
-    score = 1 / (1 + F.exp(-(F.col("z") + shift)))
-    return out.select("doc_id", "evidence", "host_rate", "path_rate", score.alias("score")).withColumn("kept", F.col("score") >= 0.5)
-
+    rates = materialize(rates.withColumn("shift", _logit(F.col("path_rate")) - _logit(F.lit(whole))), "rates")
+    told = sites.join(small(rates.withColumnsRenamed({"host": "on_host", "path": "on_path"}), ROWS), ["on_host", "on_path"]).groupBy("doc_id").agg(
+        (F.sum(F.col("host_rate") * F.col("part")) / F.sum("part")).alias("host_rates"),
+        F.avg("path_rate").alias("path_rates"),
+        F.sum(F.col("shift") * F.col("part")).alias("shifts"),
+    )
+    out = own.join(small(materialize(told, "told"), ROWS), "doc_id", "left").join(small(rates, ROWS), ["host", "path"], "left")
+    score = 1 / (1 + F.exp(-(F.col("z") + F.coalesce("shifts", "shift"))))
+    out = out.select("doc_id", "evidence", F.coalesce("host_rates", "host_rate").alias("host_rate"), F.coalesce("path_rates", "path_rate").alias("path_rate"), score.alias("score"))
+    return out.withColumn("kept", F.col("score") >= 0.5)
