@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .common import materialize, small
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-DEPTH = 4  # segments of a template; what follows them is one wildcard
+DEPTH = 4  # levels of the tree in SQL, which is the same on paths of no more segments
+CUT = 4  # levels after which a table is written, so that plans stay short
 SUPPORT = 20  # pages on a literal segment at least
 SPREAD = 3.0  # pages per distinct segment below which all segments of a node are variable
 Z = 1.96  # branches nearer than this to their pooled siblings are merged with them
@@ -46,29 +47,30 @@ def _typed(segment: Column) -> Column:
     return F.when(variable, F.concat(F.lit(ANY), ending)).otherwise(segment)
 
 
-def _templates(leaves: DataFrame) -> DataFrame:
-    """leaves(host, path, n, seen, bad) with the path's template, from the root to the leaves."""
+def _templates(leaves: DataFrame, depth: int) -> DataFrame:
+    """leaves(host, path, n, seen, bad) with the path's template, from the root to the leaves, the deepest of which have depth segments."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    out = leaves.withColumn("segments", F.transform(segments, _typed))
-    out = out.withColumn("template", F.slice("segments", 1, DEPTH)).drop("segments")
-    for k in range(DEPTH):
+    out = leaves.withColumn("template", F.transform(segments, _typed))
+    for k in range(depth):
         here = F.slice("template", 1, k)
         node = out.where(F.size("template") > k).groupBy("host", here.alias("head"), F.col("template")[k].alias("segment")).agg(F.sum("n").alias("n"))
         spread = node.groupBy("host", "head").agg((F.sum("n") / F.count("*")).alias("spread"))
         rare = node.join(small(spread, NODES), ["host", "head"]).where((F.col("n") < SUPPORT) | (F.col("spread") < SPREAD)).where(~F.col("segment").startswith(ANY))
         rare = materialize(rare.select("host", "head", "segment", F.lit(True).alias("rare")), "rare")
         out = out.withColumn("head", here).withColumn("segment", F.get("template", F.lit(k))).join(small(rare, NODES), ["host", "head", "segment"], "left")
-        changed = F.concat(F.col("head"), F.array(F.lit(ANY)), F.slice("template", k + 2, DEPTH))
+        changed = F.concat(F.col("head"), F.array(F.lit(ANY)), F.slice("template", k + 2, depth))
         out = out.withColumn("template", F.when(F.col("rare"), changed).otherwise(F.col("template"))).drop("head", "segment", "rare")
+        if k % CUT == CUT - 1:
+            out = materialize(out, "level")
     return out
 
 
-def _merged(nodes: DataFrame) -> DataFrame:
+def _merged(nodes: DataFrame, depth: int) -> DataFrame:
     """nodes(host, template, seen, bad): the template each is merged into, from the leaves to the root.
     A branch that does not differ from its siblings' pool in its share of bad pages joins it."""
     out = nodes.withColumn("into", F.col("template"))
-    for k in reversed(range(DEPTH)):
-        key = F.when(F.size("into") > k, F.concat(F.slice("into", 1, k), F.array(F.lit(ANY)), F.slice("into", k + 2, DEPTH))).otherwise(F.col("into"))
+    for k in reversed(range(depth)):
+        key = F.when(F.size("into") > k, F.concat(F.slice("into", 1, k), F.array(F.lit(ANY)), F.slice("into", k + 2, depth))).otherwise(F.col("into"))
         branch = out.groupBy("host", "into").agg(F.sum("seen").alias("s"), F.sum("bad").alias("b")).withColumn("key", key)
         pool = branch.groupBy("host", "key").agg(F.sum("s").alias("ps"), F.sum("b").alias("pb"))
         both = branch.join(small(pool, NODES), ["host", "key"])
@@ -78,6 +80,8 @@ def _merged(nodes: DataFrame) -> DataFrame:
         alike = F.when((F.col("s") > 0) & (rest > 0), F.abs(z) < Z).otherwise(True)
         move = materialize(both.select("host", "into", F.when(alike, F.col("key")).otherwise(F.col("into")).alias("moved")), "merge")
         out = out.join(small(move, NODES), ["host", "into"]).withColumn("into", F.col("moved")).drop("moved")
+        if k % CUT == CUT - 1:
+            out = materialize(out, "level")
     return out
 
 
@@ -87,7 +91,7 @@ def url_filter(pages: DataFrame, labelled: DataFrame, page_id: str = "page_id",
     labelled(page_id, bad): labels for some pages. A template is blocked if its share of bad pages,
     smoothed by PRIOR pages at the corpus rate, reaches IMPURE. Returns page_id, host, path, rule,
     verdict, template, impurity. A null url, or one without ://, has empty host and path, no
-    rule, and is judged like any template. Repeated rows are each judged. Work after the first
+    rule, and is judged like any template. Paths of any depth have a template of all their segments. Repeated rows are each judged. Work after the first
     aggregation is on distinct paths and tree nodes. Other columns are not read.
     """
     read = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("__url"))
@@ -95,9 +99,12 @@ def url_filter(pages: DataFrame, labelled: DataFrame, page_id: str = "page_id",
     parsed = read.select("page_id", host.alias("host"), path.alias("path"))
     marks = labelled.select(F.col(labelled.columns[0]).alias("page_id"), F.col("bad").cast("int").alias("bad")).where("bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     leaves = parsed.join(marks, "page_id", "left").groupBy("host", "path").agg(F.count("*").alias("n"), F.count("bad").alias("seen"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    leaves = materialize(_templates(materialize(leaves, "leaves")), "templates")
+    leaves = materialize(leaves, "leaves")
+    # As many levels as the deepest path has segments.
+    depth = leaves.agg(F.max(F.size(F.filter(F.split("path", "/"), lambda s: s != "")))).first()[0] or 0
+    leaves = materialize(_templates(leaves, depth), "templates")
     nodes = materialize(leaves.groupBy("host", "template").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")), "nodes")
-    merged = materialize(_merged(nodes), "merged")
+    merged = materialize(_merged(nodes, depth), "merged")
     rate = nodes.agg(F.try_divide(F.sum("bad"), F.sum("seen"))).first()[0] or 0.0
     impurity = (F.sum("bad") + PRIOR * rate) / (F.sum("seen") + PRIOR)
     judged = merged.groupBy("host", "into").agg(impurity.alias("impurity"))
