@@ -10,7 +10,7 @@ from atlasloom.llm.language_id import UNKNOWN, predict, train
 from atlasloom.llm.mixing import mix
 from atlasloom.llm.ngram_jaccard import ngram_jaccard
 from atlasloom.llm.packing import pack
-from atlasloom.llm.quality_rules import quality_rules
+from atlasloom.llm.quality_rules import measure
 
 #: A document nearer to no profile than this, of 1, is in none of the languages learned.
 LEAST_SCORE = 0.25
@@ -18,9 +18,12 @@ LEAST_SCORE = 0.25
 DECISIONS = 4_000_000
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose ids are kept; ids holds no duplicates."""
-    return docs.join(small(ids, DECISIONS), "doc_id", "left_semi").select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with __key, a number of each row: doc_id where it is never null nor repeated; else one of its own,
+    written, so that it stays the same."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        return docs.withColumn("__key", F.col("doc_id"))
+    return materialize(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,23 +33,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every quality rule."""
-    ids = materialize(quality_rules(docs).where("kept").select("doc_id").distinct(), "kept")
-    return _kept(docs, ids)
+    """Documents that pass every quality rule; each row by its own text, whatever its id."""
+    return docs.withColumn("__rules", measure(F.col("text"))).where("__rules.kept").select(docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
-    found = materialize(ngram_jaccard(docs).where("doc_id = component_id or doc_id is null").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    out = _kept(docs, found.select("doc_id"))
-    # Repeated rows share an id; only where there are any are whole rows compared.
-    return out if found.where("n > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    """One document of each group of near copies, the one with the smallest id; null ids come last. Rows that share an
+    id but not a text are documents of their own; of equal rows one stays."""
+    keyed = _keyed(docs)
+    found = materialize(ngram_jaccard(keyed, "__key").select(F.col("doc_id").alias("__key"), "component_id"), "found")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))["__key"].alias("__key")
+    kept = materialize(keyed.select("__key", "doc_id").join(found, "__key").groupBy("component_id").agg(first).select("__key"), "kept")
+    out = keyed.join(small(kept, DECISIONS), "__key", "left_semi").select(docs.columns)
+    # Texts without words are near copies of nothing, equal rows among them too.
+    return out if docs.groupBy("doc_id").count().where("count > 1").isEmpty() else out.dropDuplicates()
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = materialize(mix(docs).where("copies > 0").select("doc_id", F.col("copies").alias("__copies")).groupBy("doc_id").agg(F.max("__copies").alias("__copies")), "copies")
-    repeated = docs.join(small(copies, DECISIONS), "doc_id")
+    """Each document, by its row, as often as the mix takes it."""
+    keyed = _keyed(docs)
+    copies = materialize(mix(keyed, "__key").where("copies > 0").select(F.col("doc_id").alias("__key"), F.col("copies").alias("__copies")), "copies")
+    repeated = keyed.join(small(copies, DECISIONS), "__key")
     return repeated.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)
 
 
