@@ -12,7 +12,7 @@ from ..functions.lexicon import ALIASES, CONTEXT, PHRASES
 from ..operators import dictionary as d
 from ..operators import repair as rp
 from .registry import query
-from .text_sql import F1_SQL, all_sql, collapse_sql, fold_sql, has, q, slug_sql, strip_admin_sql, strip_sql, upper_sql
+from .text_sql import all_sql, collapse_sql, fold_sql, has, q, slug_sql, strip_admin_sql, strip_sql, upper_sql
 from .views import AREAS, LINES, NAMES, WORDS, areas, lines, names, table, words
 
 
@@ -51,7 +51,7 @@ def area_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas(spark, sf_dir).select("area_no", t.centre_key(F.col("province"), F.col("district")).alias("key"), t.strip_admin_prefix(F.col("district")).alias("bare"))
 
 
-@query(f"SELECT doc_id, regexp_replace({fold_sql('label')}, '[^a-z0-9]+', '', 'g') AS name_key, regexp_replace({fold_sql('label')}, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS clean_name FROM names", NAMES)
+@query(f"SELECT doc_id, name_no, regexp_replace({fold_sql('label')}, '[^a-z0-9]+', '', 'g') AS name_key, regexp_replace({fold_sql('label')}, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS clean_name FROM names", NAMES)
 def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names(spark, sf_dir).select("doc_id", "name_no", t.name_key(F.col("label")).alias("name_key"), t.clean_name(F.col("label")).alias("clean_name"))
 
@@ -70,15 +70,19 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"SELECT doc_id, \"at\", CASE WHEN l = r THEN l WHEN m > 0 THEN r WHEN m < 0 THEN l WHEN regexp_matches(r, '^\\p{{Lu}}') AND NOT regexp_matches(l, '^\\p{{Lu}}') THEN r ELSE l END AS better, "
-    f"CAST(CASE WHEN abs(length(l) - length(r)) > 2 THEN 3 ELSE levenshtein({fold_sql('l')}, {fold_sql('r')}) END AS INTEGER) AS distance FROM (SELECT *, len({all_sql('r', t.MARK)}) - len({all_sql('l', t.MARK)}) AS m FROM pairs) WHERE regexp_matches(l || r, '^[A-Za-zàâèéêôùäöüñóíáú]+$') AND {fold_sql('l')} NOT SIMILAR TO '.*[^a-z].*' AND {fold_sql('r')} NOT SIMILAR TO '.*[^a-z].*'",
+    f"SELECT doc_id, \"at\", CASE WHEN l = r THEN l WHEN m > 0 THEN r WHEN m < 0 THEN l WHEN regexp_matches(r, '^\\p{{Lu}}') AND NOT regexp_matches(l, '^\\p{{Lu}}') THEN r ELSE l END AS better FROM (SELECT *, len({all_sql('r', t.MARK)}) - len({all_sql('l', t.MARK)}) AS m FROM pairs)",
     WORDS,
     _PAIRS,
 )
 def better_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All neighbouring words; the distance counts letters, folded. DuckDB's counts bytes, so the SQL has only words that fold to ASCII."""
-    left, right = F.col("l"), F.col("r")
-    return _pairs(spark, sf_dir).select("doc_id", "at", t.better_duplicate(left, right).alias("better"), t.latin_distance(t.fold(left), t.fold(right)).alias("distance"))
+    """Of all neighbouring words the better spelling."""
+    return _pairs(spark, sf_dir).select("doc_id", "at", t.better_duplicate(F.col("l"), F.col("r")).alias("better"))
+
+
+@query()
+def latin_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance of all neighbouring words in letters, folded. DuckDB's counts bytes, so a test has a plain one."""
+    return _pairs(spark, sf_dir).select("doc_id", "at", t.latin_distance(t.fold(F.col("l")), t.fold(F.col("r"))).alias("distance"))
 
 
 @query(
@@ -92,7 +96,7 @@ def keep_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RATING = r"^.*?\([0-9]+(?:[.,][0-9]+)?\s*[KkM]?[+-]?\)\s*(?:[-·•*]\s*)?"
 
 
-@query(f"SELECT doc_id, regexp_replace(label, {q(_RATING)}, '') AS name FROM names", NAMES)
+@query(f"SELECT doc_id, name_no, regexp_replace(label, {q(_RATING)}, '') AS name FROM names", NAMES)
 def rating_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names(spark, sf_dir).select("doc_id", "name_no", t.strip_rating_prefix(F.col("label")).alias("name"))
 
@@ -105,14 +109,14 @@ def _tail(c: str) -> str:
 _NOTED = "CASE doc_id % 4 WHEN 0 THEN label || ' 4,5 ( 12 ) ' WHEN 1 THEN label || ' Open 10:30 PM' WHEN 2 THEN label || ' closed 9 00 4.5 (3)' ELSE label END"
 
 
-@query(f"SELECT doc_id, {_tail('noted')} AS name FROM (SELECT doc_id, {_NOTED} AS noted FROM names)", NAMES)
+@query(f"SELECT doc_id, name_no, {_tail('noted')} AS name FROM (SELECT doc_id, name_no, {_NOTED} AS noted FROM names)", NAMES)
 def tail_notes_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 4
     note = F.when(k == 0, " 4,5 ( 12 ) ").when(k == 1, " Open 10:30 PM").when(k == 2, " closed 9 00 4.5 (3)").otherwise("")
     return names(spark, sf_dir).select("doc_id", "name_no", t.strip_tail_notes(F.concat("label", note)).alias("name"))
 
 
-@query(f"SELECT doc_id, {collapse_sql('string_split(label, ' + q(' / ') + ')[1]')} AS main, {collapse_sql('array_to_string(string_split(label, ' + q(' / ') + ')[2:], ' + q(' / ') + ')')} AS sub FROM names", NAMES)
+@query(f"SELECT doc_id, name_no, {collapse_sql('string_split(label, ' + q(' / ') + ')[1]')} AS main, {collapse_sql('array_to_string(string_split(label, ' + q(' / ') + ')[2:], ' + q(' / ') + ')')} AS sub FROM names", NAMES)
 def name_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     main, sub = t.split_name(F.col("label"))
     return names(spark, sf_dir).select("doc_id", "name_no", main.alias("main"), sub.alias("sub"))
@@ -242,7 +246,7 @@ _L = all_sql("label", t.TOKEN)
 
 
 @query(
-    f"SELECT doc_id, len(list_filter({_L}, lambda w: {upper_sql('w')} AND length(w) >= 2)) > 0 OR len(list_filter({_L}, lambda w: {has('w', '^' + chr(92) + 'p{Lu}')} AND NOT {MARKED('w')} AND length(w) >= 5)) >= 2 AS sensitive, "
+    f"SELECT doc_id, name_no, len(list_filter({_L}, lambda w: {upper_sql('w')} AND length(w) >= 2)) > 0 OR len(list_filter({_L}, lambda w: {has('w', '^' + chr(92) + 'p{Lu}')} AND NOT {MARKED('w')} AND length(w) >= 5)) >= 2 AS sensitive, "
     f"len({_L}) = 0 OR len(list_filter({_L}, lambda w: {DIGIT('w')})) > 0 OR (len(list_filter({_L}, lambda w: {upper_sql('w')} AND length(w) > 1)) > 0 AND len(list_filter({_L}, lambda w: w <> 'TP')) > 0) AS brand FROM names",
     NAMES,
 )
@@ -296,19 +300,24 @@ def _artifacts(s: str) -> str:
     return " + ".join([n(3, '[?#*"“”]'), n(2, r"[():;]"), dashes, letters, n(1, r"[^\p{L}\p{N}_\sÀ-ỹ/&.,%+'\-–—]"), f"coalesce({parts}, 0)"])
 
 
-@query(f"SELECT doc_id, CAST({_artifacts('label')} AS INTEGER) AS score FROM names", NAMES)
+@query(f"SELECT doc_id, name_no, CAST({_artifacts('label')} AS INTEGER) AS score FROM names", NAMES)
 def artifact_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names(spark, sf_dir).select("doc_id", "name_no", sc.artifact_score(F.col("label")).alias("score"))
 
 
-_BENCH = "bench AS (SELECT item_id, array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ') AS b FROM benchmark)"
-_TA, _TB = (f"list_transform({all_sql(c, t.TOKEN)}, lambda w: {fold_sql('w')})" for c in ("label", "b"))
+def _bag(name: str, keys: str, c: str, source: str) -> str:
+    folded = f"list_transform({all_sql(c, t.TOKEN)}, lambda w: {fold_sql('w')})"
+    return f"{name} AS (SELECT {keys}, size, token, count(*) AS n FROM (SELECT {keys}, len(w) AS size, unnest(w) AS token FROM (SELECT {keys}, {folded} AS w FROM {source})) GROUP BY ALL)"
 
 
-@query(f"SELECT doc_id, item_id, round({F1_SQL(_TA, _TB)}, 6) AS f1 FROM names JOIN bench ON doc_id % 40 = item_id", NAMES, _BENCH)
+@query(
+    "SELECT doc_id, name_no, item_id, round(2.0::DOUBLE * sum(least(a.n, b.n)) / (a.size + b.size), 6) AS f1 FROM a JOIN b ON a.token = b.token GROUP BY doc_id, name_no, item_id, a.size, b.size",
+    NAMES,
+    _bag("a", "doc_id, name_no", "label", "names"),
+    _bag("b", "item_id", "text", "benchmark"),
+)
 def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every name with every benchmark text that shares a token with it, both whole; all other pairs have 0. The SQL still deals
-    each name to one of 40 items."""
+    """Every name with every benchmark text that shares a token with it, both whole; all other pairs have 0."""
     counted = lambda df, key, c: df.withColumn("w", t.folded_tokens(F.col(c), t.TOKEN)).select(*key, F.size("w").alias("size"), F.explode("w").alias("token")).groupBy(*key, "size", "token").agg(F.count("*").alias("n"))
     a = counted(names(spark, sf_dir), ["doc_id", "name_no"], "label")
     b = counted(table(spark, sf_dir, "benchmark"), ["item_id"], "text").select("item_id", F.col("size").alias("other_size"), "token", F.col("n").alias("other_n"))
@@ -322,7 +331,19 @@ def distance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", sc.distance_score(F.when(key % 5 != 0, key % 120)).alias("score"))
 
 
-@query(f"SELECT a.doc_id, {fold_sql('a.label')} <> '' AND contains(' ' || array_to_string({all_sql(fold_sql('a.label'), '[a-z0-9]+')}, ' ') || ' ', ' ' || array_to_string({all_sql(fold_sql('b.label'), '[a-z0-9]+')}[1:2], ' ') || ' ') AS contains, len(list_intersect({all_sql(fold_sql('a.label'), '[a-z0-9]+')}, {all_sql(fold_sql('b.label'), '[a-z0-9]+')})) = 0 AS unrelated FROM names a JOIN names b ON b.doc_id = a.doc_id + 1 WHERE len({all_sql(fold_sql('b.label'), '[a-z0-9]+')}) > 0 AND len({all_sql(fold_sql('a.label'), '[a-z0-9]+')}) > 0", NAMES)
+_TURNS = (
+    "counted AS (SELECT doc_id, count(*) AS n FROM names GROUP BY 1), "
+    "turns AS (SELECT doc_id, n, m, unnest(range(greatest(n, m))) AS turn FROM (SELECT c.doc_id, c.n, o.n AS m FROM counted c JOIN counted o ON o.doc_id = c.doc_id + 1)), "
+    f"keys AS (SELECT doc_id, name_no, {fold_sql('label')} AS folded, {all_sql(fold_sql('label'), '[a-z0-9]+')} AS w FROM names)"
+)
+
+
+@query(
+    "SELECT t.doc_id, turn, a.folded <> '' AND contains(' ' || array_to_string(a.w, ' ') || ' ', ' ' || array_to_string(b.w[1:2], ' ') || ' ') AS contains, len(list_intersect(a.w, b.w)) = 0 AS unrelated "
+    "FROM turns t JOIN keys a ON a.doc_id = t.doc_id AND a.name_no = turn % n JOIN keys b ON b.doc_id = t.doc_id + 1 AND b.name_no = turn % m WHERE len(a.w) > 0 AND len(b.w) > 0",
+    NAMES,
+    _TURNS,
+)
 def token_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of neighbouring documents, side by side; the shorter list starts again until the longer one ends."""
     n = names(spark, sf_dir)
@@ -341,13 +362,14 @@ def known_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.with_known(words(spark, sf_dir), known)
 
 
+_LEADS = lambda k: "[" + ", ".join(["word", *(f'lead(word, {i}) OVER (PARTITION BY doc_id ORDER BY \"at\")' for i in range(1, k))]) + "]"
 _MARKS = f"len(list_filter(g, lambda w: {LISTED('w')}))"
 
 
 @query(
     f"SELECT key, arg_max(spelling, (marks, -o, -n, -i)) AS spelling, CAST(max(marks) AS INTEGER) AS marks FROM (SELECT o, n, i, array_to_string(g, ' ') AS spelling, {_MARKS} AS marks, array_to_string(list_transform(g, lambda w: {fold_sql('w')}), ' ') AS key FROM "
-    f"(SELECT o, n, i, w[i + 1 : i + n] AS g FROM (SELECT o, w, n, unnest(range(len(w) - n + 1)) AS i FROM (SELECT doc_id AS o, {_L} AS w, unnest(range(2, 6)) AS n FROM names) WHERE len(w) >= n)) WHERE len(list_filter(g, lambda w: {DIGIT('w')})) = 0) WHERE marks > 0 GROUP BY key",
-    NAMES,
+    f"(SELECT o, n, i, g[1:n] AS g FROM (SELECT doc_id AS o, \"at\" AS i, {_LEADS(5)} AS g, unnest(range(2, 6)) AS n FROM words) WHERE g[n] IS NOT NULL) WHERE len(list_filter(g, lambda w: {DIGIT('w')})) = 0) WHERE marks > 0 GROUP BY key",
+    WORDS,
 )
 def phrase_ngram_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over whole texts: phrases also run from one label into the next."""
@@ -398,7 +420,7 @@ _PHRASES = "phrases(phrase, spelled, n) AS (VALUES " + ", ".join(f"({q(' '.join(
 
 
 @query(
-    f"SELECT doc_id, CAST(i AS INTEGER) AS \"at\", phrase, spelled FROM (SELECT doc_id, i, n, w[i + 1 : i + n] AS g, phrase, spelled FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM (SELECT doc_id, list(word ORDER BY \"at\") AS w FROM even GROUP BY doc_id)), phrases WHERE i + n <= len(w)) "
+    f"SELECT doc_id, CAST(i AS INTEGER) AS \"at\", phrase, spelled FROM (SELECT doc_id, i, w[1:n] AS g, phrase, spelled FROM (SELECT doc_id, \"at\" AS i, {_LEADS(max(len(x) for x, _ in PHRASES))} AS w FROM even) JOIN phrases ON {fold_sql('w[1]')} = split_part(phrase, ' ', 1) WHERE w[n] IS NOT NULL) "
     f"WHERE array_to_string(list_transform(g, lambda x: {fold_sql('x')}), ' ') = phrase AND len(list_filter(g, lambda x: {_BRAND('x')})) = 0",
     WORDS,
     _RENAMED,
@@ -410,12 +432,12 @@ def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.phrase_hits(even)
 
 
-_COUNTS = f"counts AS (SELECT {fold_sql('word')} AS key, sum(1 + doc_id % 3) AS weight, arg_max(word, ({LISTED('word')}, -(doc_id * 24 + \"at\"))) AS word FROM words WHERE doc_id % 2 = 0 AND {has('word', '^[A-Za-zÀ-ỹĐđ]{2,}$')} AND NOT {_BRAND('word')} GROUP BY 1)"
+_COUNTS = f"counts AS (SELECT {fold_sql('word')} AS key, sum(1 + doc_id % 3) AS weight, arg_max(word, ({LISTED('word')}, -(doc_id::HUGEINT * 4294967296 + \"at\"))) AS word FROM words WHERE {has('word', '^[A-Za-zÀ-ỹĐđ]{2,}$')} AND NOT {_BRAND('word')} GROUP BY 1)"
 
 
 @query(f"SELECT key, CAST(weight AS BIGINT) AS weight, word FROM counts", WORDS, _COUNTS)
 def spelling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the words of all documents. _COUNTS still holds those of even documents only."""
+    """Over the words of all documents."""
     weighted = words(spark, sf_dir).select((F.col("doc_id").cast("decimal(20,0)") * (1 << 32) + F.col("at")).alias("ordinal"), "word", (1 + F.col("doc_id") % 3).alias("weight"))
     return d.spelling_counts(weighted)
 

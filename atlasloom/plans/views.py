@@ -70,20 +70,20 @@ LINES = "lines AS (SELECT doc_id, CAST(unnest(range(len(p))) AS INTEGER) AS line
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All words of each document. WORDS still stops at the 24th."""
+    """All words of each document."""
     found = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("at", "word"))
 
 
 WORDS = (
     f"words AS (SELECT doc_id, CAST(unnest(range(len(p))) AS INTEGER) AS \"at\", unnest(p) AS word "
-    f"FROM (SELECT doc_id, list_slice(regexp_extract_all(text, '{TOKEN}', 0), 1, 24) AS p FROM documents WHERE text IS NOT NULL))"
+    f"FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN}', 0) AS p FROM documents WHERE text IS NOT NULL))"
 )
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A label for every five words of each document, numbered by name_no: three words, a slash, and two more; in every
-    seventh document with a rating before it. A document without words has one label. NAMES still has the first label only."""
+    seventh document with a rating before it. A document without words has one label."""
     w = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
     found = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", w.alias("w"))
     groups = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(5)), lambda i: F.slice("w", i + 1, 5))
@@ -94,9 +94,9 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NAMES = (
-    "names AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '4.5 (12K) · ' || l ELSE l END AS label FROM (SELECT doc_id, "
-    f"array_to_string(list_slice(w, 1, 3), ' ') || ' / ' || array_to_string(list_slice(w, 4, 5), ' ') AS l "
-    f"FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN}', 0) AS w FROM documents WHERE text IS NOT NULL)))"
+    WORDS + ", names AS (SELECT doc_id, name_no, CASE WHEN doc_id % 7 = 0 THEN '4.5 (12K) · ' || l ELSE l END AS label FROM ("
+    "SELECT doc_id, \"at\" // 5 AS name_no, string_agg(word, ' ' ORDER BY \"at\") FILTER (\"at\" % 5 < 3) || ' / ' || coalesce(string_agg(word, ' ' ORDER BY \"at\") FILTER (\"at\" % 5 > 2), '') AS l FROM words GROUP BY 1, 2 "
+    "UNION ALL SELECT doc_id, 0, ' / ' FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM words)))"
 )
 
 

@@ -116,4 +116,5 @@ def test_all_neighbours_are_compared(spark, tmp_path):
         more = marks(b) - marks(a)
         better = a if a == b or more < 0 else b if more > 0 or (b[0].isupper() and not a[0].isupper()) else a
         want[i] = (better, distance(fold(a), fold(b)))
-    assert {r["at"]: (r.better, r.distance) for r in QUERIES["better_duplicate"](spark, str(tmp_path)).collect()} == want
+    found = QUERIES["better_duplicate"](spark, str(tmp_path)).join(QUERIES["latin_distance"](spark, str(tmp_path)), ["doc_id", "at"])
+    assert {r["at"]: (r.better, r.distance) for r in found.collect()} == want
