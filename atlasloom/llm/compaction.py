@@ -2,7 +2,9 @@
 target-sized files, and a manifest whose versions are committed by one atomic rename.
 
 A run is what one append or one merge wrote: a folder of Parquet shards. Data moves through
-Spark's readers and writers alone; the driver handles file names and sizes.
+Spark's readers and writers alone; the driver handles file names and sizes. Rows are kept as they
+are, so nulls in any column, empty and very long texts, ties and repeated rows come back as they
+went in; no column name is reserved. A table without rows has a schema and reads as empty.
 """
 
 from __future__ import annotations
@@ -10,15 +12,17 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FANOUT = 4  # runs of one tier that make a merge
 BASE = 1 << 20  # bytes of the smallest tier
 TARGET = 128 << 20  # bytes of a merged file
-ARRIVAL = "__arrival"
+AT_ONCE = 4  # merges
 CODEC = "zstd"  # Snappy keeps buffers outside the heap until a collection
 
 
@@ -54,22 +58,31 @@ class ShardStore:
         """The last committed version; 0 before the first."""
         return max((int(n[1:9]) for n, _ in self._list("manifests") if n.startswith("v")), default=0)
 
-    def runs(self, version: int | None = None) -> list[Run]:
+    def _manifest(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
         if not version:
-            return []
+            return {"schema": None, "runs": []}
         stream = self._fs.open(self._path(f"manifests/v{version:08d}.json"))
         try:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return [Run(**r) for r in json.loads(text)]
+        return json.loads(text)
+
+    def runs(self, version: int | None = None) -> list[Run]:
+        return [Run(**r) for r in self._manifest(version)["runs"]]
 
-    def commit(self, runs: list[Run], version: int) -> int:
+    def schema(self, version: int | None = None) -> T.StructType | None:
+        """The columns of a version; None before the first."""
+        kept = self._manifest(version)["schema"]
+        return kept and T.StructType.fromJson(kept)
+
+    def commit(self, runs: list[Run], version: int, schema: T.StructType | None = None) -> int:
         """Publish runs as the given version. The rename does not overwrite, so of two writers one fails."""
+        kept = schema.jsonValue() if schema else self._manifest(version - 1)["schema"]
         draft, final = self._path(f"manifests/draft-{uuid.uuid4().hex}"), self._path(f"manifests/v{version:08d}.json")
         out = self._fs.create(draft, False)
-        out.write(bytearray(json.dumps([asdict(r) for r in runs]).encode()))
+        out.write(bytearray(json.dumps({"schema": kept, "runs": [asdict(r) for r in runs]}).encode()))
         out.close()
         files = self._hadoop.FileContext.getFileContext(self._fs.getUri(), self._conf)
         try:
@@ -83,18 +96,31 @@ class ShardStore:
         sizes = [n for name, n in self._list(folder) if name.endswith(".parquet")]
         return Run(folder, sum(sizes), len(sizes), level)
 
-    def append(self, arrivals: DataFrame, by: str | None = None) -> int:
-        """Add rows as small shards. With by, each of its values is an arrival of its own, all are
-        written in one pass, and each is committed as a version of its own."""
+    def append(self, arrivals: DataFrame, by: str | Column | None = None) -> int:
+        """Add rows as small shards. A column that the store has not is added to it, and is null in all other rows; one of
+        another type than the store's is refused. With by, a column or an expression, each of its values is an arrival of its own, null and the empty text are one; all are written in one pass, and each is
+        committed as a version of its own. No rows make a version that adds none. A version that another writer
+        took is tried again as the next."""
+        own = {f.name.lower(): T.StructField(f.name, f.dataType) for f in arrivals.schema.fields}
+        name = "arrival"
+        while name in own:
+            name += "_"
         stage = f"shards/{uuid.uuid4().hex}"
-        by_arrival = arrivals.withColumn(ARRIVAL, F.col(by) if by else F.lit(0))
+        value = F.lit(0) if by is None else F.col(by) if isinstance(by, str) else by
         # Spark lists no folder of hidden names, so the folders of partitions are named by value only.
-        by_arrival.write.option("compression", CODEC).partitionBy(ARRIVAL).parquet(f"{self.root}/{stage}")
-        for name, _ in self._list(stage):
-            if name.startswith(f"{ARRIVAL}="):
-                run = self._run(f"{stage}/{name}", 0)
+        arrivals.withColumn(name, value).write.option("compression", CODEC).partitionBy(name).parquet(f"{self.root}/{stage}")
+        new = [self._run(f"{stage}/{folder}", 0) for folder, _ in self._list(stage) if folder.startswith(f"{name}=")]
+        for run in new or [None]:
+            while True:
                 now = self.version()
-                self.commit([*self.runs(now), run], now + 1)
+                kept = {f.name.lower(): f for f in self.schema(now) or []}
+                if wrong := [c for c, f in own.items() if c in kept and kept[c].dataType != f.dataType]:
+                    raise ValueError(f"of another type in the store: {', '.join(wrong)}")
+                try:
+                    self.commit([*self.runs(now), *([run] if run else [])], now + 1, T.StructType([*(kept | {c: f for c, f in own.items() if c not in kept}).values()]))
+                    break
+                except Conflict:
+                    continue
         return self.version()
 
     def tier(self, run: Run) -> int:
@@ -108,11 +134,15 @@ class ShardStore:
         return [t[at : at + self.fanout] for _, t in sorted(tiers.items()) for at in range(0, len(t) - self.fanout + 1, self.fanout)]
 
     def read(self, runs: list[Run] | None = None) -> DataFrame:
-        """The rows of the given runs, or of the last version."""
-        runs = self.runs() if runs is None else runs
-        kept = [f"{self.root}/{r.folder}" for r in runs if r.files]
+        """The rows of the given runs, or of the last version; none, of its columns, from a version without rows."""
+        schema = self.schema()
+        if schema is None:
+            raise FileNotFoundError(f"{self.root} has no version")
+        kept = [f"{self.root}/{r.folder}" for r in (self.runs() if runs is None else runs) if r.files]
+        if not kept:
+            return self.spark.createDataFrame([], schema)
         # Paths are read as they are: a folder of one arrival has no partition column.
-        return self.spark.read.option("recursiveFileLookup", "true").parquet(*kept)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*kept)
 
     def merge(self, group: list[Run], level: int) -> Run:
         """One run from several: files of about the target size, rows neither shuffled nor sorted."""
@@ -122,21 +152,29 @@ class ShardStore:
         return self._run(folder, level)
 
     def compact(self) -> int:
-        """Merge until no tier holds fanout runs. Each round is one version; its merges are independent."""
-        while groups := self.plan(self.runs()):
+        """Merge until no tier holds fanout runs. Each round is one version; its merges are independent and run AT_ONCE
+        together. If another writer commits first, what was merged is deleted and the round starts again."""
+        while True:
             now = self.version()
             current = self.runs(now)
-            merged = [(g, self.merge(g, max(r.level for r in g) + 1)) for g in groups]
-            gone = {r.folder for g, _ in merged for r in g}
-            self.commit([*(r for r in current if r.folder not in gone), *(m for _, m in merged)], now + 1)
-        return self.version()
+            groups = self.plan(current)
+            if not groups:
+                return self.version()
+            with ThreadPoolExecutor(AT_ONCE) as pool:
+                merged = list(pool.map(lambda g: self.merge(g, max(r.level for r in g) + 1), groups))
+            gone = {r.folder for g in groups for r in g}
+            try:
+                self.commit([*(r for r in current if r.folder not in gone), *merged], now + 1)
+            except Conflict:
+                for run in merged:
+                    self._fs.delete(self._path(run.folder), True)
 
     def vacuum(self) -> None:
         """Delete shards and manifests that the last version does not name. Readers of older versions must be done."""
         now = self.version()
         kept = {r.folder for r in self.runs(now)}
         for stage, _ in self._list("shards"):
-            inside = [f"shards/{stage}/{n}" for n, _ in self._list(f"shards/{stage}") if n.startswith(f"{ARRIVAL}=")]
+            inside = [f"shards/{stage}/{n}" for n, _ in self._list(f"shards/{stage}") if "=" in n]
             if f"shards/{stage}" in kept:
                 continue
             for folder in inside:

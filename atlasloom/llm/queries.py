@@ -45,10 +45,11 @@ def op5_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive in ARRIVALS lots by doc_id, are compacted, and are read from the last version."""
     docs = table(spark, sf_dir, "documents")
     store = ShardStore(spark, f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}")
-    store.append(docs.withColumn("arrival", F.pmod("doc_id", F.lit(ARRIVALS)).cast("int")), by="arrival")
+    arrival = F.pmod("doc_id", F.lit(ARRIVALS)).cast("int")
+    store.append(docs, by=arrival)
     store.compact()
     store.vacuum()
-    return store.read().select("doc_id", "arrival", F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "source", "n_chars")
+    return store.read().select("doc_id", arrival.alias("arrival"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "source", "n_chars")
 
 
 def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
