@@ -41,7 +41,7 @@ def quality() -> str:
         "mean word length": per("word_chars", "n_words"),
         "symbols to words": per("n_symbols", "n_words"),
         "repeated lines": per("n_dup_lines", "n_lines"),
-        "stop words": "n_stop_words",
+        "stop words": per("n_stop_words", "n_words"),
     }
     broken = ", ".join(_rule(r.name, values[r.name], r.low, r.high) for r in RULES)
     stop = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))

@@ -39,7 +39,7 @@ RULES = (
     Rule("mean word length", _per("word_chars", "n_words"), 2, 15),
     Rule("symbols to words", _per("n_symbols", "n_words"), None, 0.1),
     Rule("repeated lines", _per("n_dup_lines", "n_lines"), None, 0.6),
-    Rule("stop words", lambda m: m["n_stop_words"], 2, None),
+    Rule("stop words", _per("n_stop_words", "n_words"), 0.02, None),
 )
 
 
