@@ -23,7 +23,6 @@ MOST = 2
 ROUNDS = 60
 BLOCK = 1000  # size classes folded at once
 RANKED = 100_000  # documents of one class that one task ranks, about
-SOURCES = 1_000_000
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -64,7 +63,7 @@ def balance(hist: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
         x = F.col("size") / F.col("mean")
         rate = _rate(x, most)
         mass = F.col("n") * F.col("size") * rate
-        sums = hist.where("size > 0").join(small(state.where("open").select("sid", "lam", "mean"), SOURCES), "sid")
+        sums = hist.where("size > 0").join(small(state.where("open").select("sid", "lam", "mean")), "sid")
         sums = sums.groupBy("sid").agg(F.sum(mass).alias("got"), F.sum(F.when(rate < most, mass * x).otherwise(0.0)).alias("slope"))
         after = state.join(sums, "sid", "left")
         over = F.col("got") - F.col("target")
@@ -80,6 +79,8 @@ def balance(hist: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
         state = after
         if state.where("open").isEmpty():
             break
+    else:
+        raise ArithmeticError(f"entropy balancing did not converge in {ROUNDS} rounds")
     # Sums of doubles may differ in their last bits from run to run; the multiplier must not.
     return state.select("sid", F.round("lam", 9).alias("lam"), "mean")
 
@@ -114,11 +115,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     sized = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size")), "sized")
     goals = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share), "goals")
-    hint = small(goals, SOURCES)
+    hint = small(goals)
     joined = sized.alias("d").join(hint.alias("g"), F.expr("d.source <=> g.source")).select("d.doc_id", "d.size", "g.sid", "g.source_size", "g.target")
     hist = materialize(joined.groupBy("sid", "size").agg(F.count("*").alias("n")), "hist")
     lam = materialize(balance(hist, goals), "lam")
-    rated = hist.where("size > 0").join(small(lam, SOURCES), "sid").withColumn("rate", _rate(F.col("size") / F.col("mean"), MOST))
+    rated = hist.where("size > 0").join(small(lam), "sid").withColumn("rate", _rate(F.col("size") / F.col("mean"), MOST))
     wanted = F.struct("size", "n", (F.col("n") * F.col("size") * F.col("rate")).alias("want"))
     folded = rated.groupBy("sid").agg(F.sort_array(F.collect_list(wanted), asc=False).alias("classes")).select("sid", F.explode(_fold(F.col("classes"))).alias("c"))
     whole = folded.select("sid", "c.size", F.col("c.copies").alias("k")).join(rated.select("sid", "size", "n", "rate"), ["sid", "size"])
