@@ -259,7 +259,30 @@ def test_quantisation_bound():
     x = rng.normal(size=(300, 24)) * rng.choice([1, 0.01, 5], (300, 24))
     x /= np.linalg.norm(x, axis=1)[:, None]
     q, s, e = ed.quantise(x)
-    assert np.abs(q).max() <= 127 and (np.abs(x @ x.T - (q @ q.T) * s[:, None] * s) <= e[:, None] + e + 3 * e[:, None] * e + 1e-12).all()
+    assert q.dtype == np.int8 and np.abs(q.astype(int)).max() <= 127
+    q = q.astype(float)
+    assert (np.abs(x @ x.T - (q @ q.T) * s[:, None] * s) <= e[:, None] + e + 3 * e[:, None] * e + 1e-12).all()
+
+
+@pytest.mark.parametrize("width", [1536, 4096])
+def test_wide_vectors_lose_no_link(width):
+    """Values that int8 holds exactly leave no slack of rounding; the threshold is a pair's own cosine."""
+    rng = np.random.default_rng(width)
+    base = rng.integers(100, 128, width) * rng.choice([-1, 1], width)
+    x = np.where(rng.random((60, width)) < 0.03, -base, base).astype(float)
+    x[:, 0] = 127
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    a, b = np.triu_indices(len(x), 1)
+    exact = np.einsum("ij,ij->i", x[a], x[b])
+    for t in np.sort(exact)[[0, 200, 900, 1500]]:
+        found = {(int(u), int(v)) for p, q in ed.links(x, x, t) for u, v in zip(p, q, strict=True) if u < v}
+        assert found == {(int(u), int(v)) for u, v, c in zip(a, b, exact, strict=True) if c >= t}
+
+
+def test_vectors_of_single_precision(spark):
+    rows = [(1, [0.1, 0.2, 0.3]), (2, [0.1, 0.2, 0.3]), (3, [0.1, 0.2, 0.30000001]), (4, [0.3, -0.2, 0.1]), (5, None)]
+    got = ed.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
 
 
 def waterfill(sizes, weights=(3, 1, 2), share=1.5):
@@ -385,5 +408,27 @@ def test_shards(spark, tmp_path, mixed):
     assert store.read().count() == docs.count() + 3 and store.compact() == store.version()
 
 
+def test_shards_odd(spark, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "store"))
+    with pytest.raises(FileNotFoundError):
+        store.read()
+    kind = "doc_id long, Arrival string, arrival_ int, text string"
+    assert store.append(spark.createDataFrame([], kind)) == 1
+    assert store.read().count() == 0 and store.read().columns == ["doc_id", "Arrival", "arrival_", "text"] and store.compact() == 1
+    rows = [(1, "own", 7, "x" * 1_000_000), (1, "own", 7, "x" * 1_000_000), (None, None, None, None), (2, "", None, "")]
+    assert store.append(spark.createDataFrame(rows, kind), by="Arrival") == 3  # null and "" are one
+    assert store.append(spark.createDataFrame(rows, kind), by=F.col("doc_id") % 2) == 6
+    store.compact()
+    store.vacuum()
+    assert sorted(map(str, store.read().collect())) == sorted([str(r) for r in spark.createDataFrame(rows, kind).collect()] * 2)
+    with pytest.raises(ValueError):
+        store.append(spark.createDataFrame([("a",)], "doc_id string"))
+    taken = iter([True, False])
+    plain = store.commit
+    store.commit = lambda runs, version, schema=None: plain(runs, version - next(taken, False), schema)  # another writer is first, once
+    before = store.version()
+    assert store.append(spark.createDataFrame(rows, kind)) == before + 1 and store.read().count() == 12
+
+
 def test_scratch_folder(spark):
     assert common.scratch_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
