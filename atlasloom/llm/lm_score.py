@@ -23,7 +23,6 @@ START = 0x110000  # stands before a document; no code point
 BITS = 21  # of a symbol
 STRENGTH = 8.0  # of the Dirichlet prior that backs each order off to the next lower one
 PIECE = 1 << 21  # characters handled at once
-TARGET_ROWS = 4_000_000  # more target ids than this are joined by a shuffle, not a broadcast
 GRAMS = 4_000_000  # a model of more n-grams than this is joined by a shuffle, not a broadcast
 MASK = (1 << BITS) - 1
 
@@ -195,7 +194,7 @@ def lm_score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text:
     # One name for each column we need, whatever else the table holds.
     docs = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
     targets = targets.select(F.col(targets.columns[0]).alias("__id"), F.lit(True).alias("__target")).distinct()
-    flagged = docs.join(small(targets, TARGET_ROWS), "__id", "left").select("__text", "__target")
+    flagged = docs.join(small(targets), "__id", "left").select("__text", "__target")
     counts = flagged.mapInArrow(_counter, "head long, tail long, n_all long, n_target long")
     counts = materialize(counts.groupBy("head", "tail").agg(F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target")), "grams")
     model = materialize(_model(counts), "model")

@@ -14,8 +14,8 @@ one that is among the first m - o + 1 of the other, so only such entries bring t
    long columns with. Large groups of near copies become components at a cost linear in their size.
 2. All columns that still hold several components are multiplied out between components, in tiles.
 
-Pairs are discarded if sizes and shared prefixes rule the Jaccard out, and the rest are verified
-on whole sets. A pair is skipped only if verified links join its documents already, so no
+Pairs are discarded if sizes and shared prefixes rule the Jaccard out, then if the first SKETCH bits of all
+shingles do, and the rest are verified on whole sets. A pair is skipped only if verified links join its documents already, so no
 component is missed.
 """
 
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, small
+from .common import discard, lean, materialize, small, spread_join
 from .components import components
 
 SHINGLE = 5
@@ -44,7 +44,9 @@ LONG = 4  # documents of a column beyond which it has hubs,
 HUBS = 4  # as many in each round
 BEFORE = 4  # shared columns before this one by which a pair is known to have met already
 ROUNDS = 3  # of hubs at most; one that finds no link is the last
-IDS = 4_000_000  # more documents to verify than this are found by a shuffle, not a broadcast
+SKETCH = 16  # bits of each shingle that bound an overlap,
+SKETCHED = 4096  # in sets of at most so many; larger ones are verified at once
+SALTED = 100_000  # entries of one column that go to one task
 
 _RNG = np.random.default_rng(20240229)
 _ODD = _RNG.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,9 +62,19 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _powers_to(longest: int) -> np.ndarray:
+    """Powers of the base. Those of words of common lengths are kept."""
+    global _powers
+    if longest <= len(_powers):
+        return _powers
+    out = np.cumprod(np.concatenate([_powers[:1], np.full(max(longest, 1 << 12) - 1, _BASE)]), dtype=np.uint64)
+    if len(out) <= 1 << 16:
+        _powers = out
+    return out
+
+
 def _word_hashes(text: bytes) -> np.ndarray:
     """A polynomial in an odd base modulo 2**64 for each word, then mixed."""
-    global _powers
     out = []
     at = 0
     while at < len(text):
@@ -79,9 +91,7 @@ def _word_hashes(text: bytes) -> np.ndarray:
         if not len(starts):
             continue
         place = np.arange(len(b)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(b)]])))
-        if (longest := int(place.max()) + 1) > len(_powers):
-            _powers = np.cumprod(np.concatenate([_powers[:1], np.full(2 * longest, _BASE)]), dtype=np.uint64)
-        value = (b.astype(np.uint64) + np.uint64(1)) * _powers[place]
+        value = (b.astype(np.uint64) + np.uint64(1)) * _powers_to(int(place.max()) + 1)[place]
         value[space] = 0
         out.append(_mix(np.add.reduceat(value, starts)))
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
@@ -104,18 +114,30 @@ def _cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
+def _texts(column: pa.Array):
+    """Its values, one after the other."""
+    for value in column:
+        yield value.as_py()
+
+
 def _frequent(batches):
     """Cells that are clearly above this task's mean."""
-    total, held, waiting = np.zeros(CELLS, dtype=np.int64), [], 0
+    total, held, waiting = np.zeros(CELLS, dtype=np.int32), [], 0
+
+    def add():
+        cell, n = np.unique(np.concatenate(held), return_counts=True)
+        total[cell] += n.astype(np.int32)
+        held.clear()
+
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for text in _texts(batch.column(0)):
             held.append(_cell(shingles(text)))
             waiting += len(held[-1])
-            if waiting > CELLS:
-                total += np.bincount(np.concatenate(held), minlength=CELLS)
-                held, waiting = [], 0
+            if waiting > CELLS // 8:
+                add()
+                waiting = 0
     if held:
-        total += np.bincount(np.concatenate(held), minlength=CELLS)
+        add()
     mean = total.mean()
     cell = np.flatnonzero(total >= mean + 5 * np.sqrt(mean) + 4)
     for at in range(0, len(cell), 100_000):
@@ -133,7 +155,7 @@ def _prefixes(frequent, percent):
     def rows(batches):
         for batch in batches:
             n, prints, rare, common = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in _texts(batch.column(1)):
                 own = shingles(text)
                 n.append(len(own))
                 prints.append(xxhash.xxh3_128_digest(own.tobytes()))
@@ -200,19 +222,31 @@ def _block(block: int | None, parts: dict[str, list[np.ndarray]]):
     keep = np.zeros(len(low), dtype=bool)
     keep[1:] |= same
     keep[:-1] |= same
+    many = np.diff(np.append(np.flatnonzero(np.concatenate([[True], ~same])), len(low))) if len(low) else np.zeros(0, dtype=np.int64)
+    many = np.repeat(many, many)[keep]
     order = order[keep]
     doc = np.repeat(np.arange(len(ids)), counts)[order]
     gram, place = low[order].astype(np.int64) | block << 32, place[order]
     for at in range(0, len(gram), 100_000):
         part = slice(at, at + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram[part], ids[doc[part]], place[part], sizes[doc[part]])], ["gram", "id", "at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram[part], ids[doc[part]], place[part], sizes[doc[part]], many[part])], ["gram", "id", "at", "n", "m"])
 
 
 def _sets(batches):
+    """Each document's set, and of a set that is not too large the first bits of its shingles: those that differ, and how many
+    shingles have them from another."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingles(x) for x in part.column(1).to_pylist()])], ["id", "set"])
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            own = [shingles(x) for x in _texts(part.column(1))]
+            first = [np.unique(x >> np.uint64(64 - SKETCH)).astype(np.uint16) for x in own]
+            size = np.array([len(x) for x in own], dtype=np.int64)
+            over = size > SKETCHED
+            ends = np.concatenate([[0], np.cumsum(np.where(over, 0, [len(x) for x in first]))]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, dtype=np.uint16), *(x for x, skip in zip(first, over, strict=True) if not skip)])
+            bits = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int16)))
+            twins = pa.array(size - [len(x) for x in first], mask=over)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), bits, twins, _lists(own)], ["id", "n", "bits", "twins", "set"])
 
 
 def _meet(at, n, other_at, m, percent: int) -> Column:
@@ -228,8 +262,8 @@ def _attach(pairs: DataFrame, values: DataFrame) -> DataFrame:
     packed = values.select("id", F.struct(*(c for c in values.columns if c != "id")).alias("v"))
     lots = pairs.groupBy("a").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
     dealt = pairs.join(lots, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int").alias("lot"))
-    left = packed.join(small(lots.withColumnRenamed("a", "id"), IDS), "id").select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.col("v").alias("va"))
-    right = packed.select(F.col("id").alias("b"), F.col("v").alias("vb")).join(small(dealt, IDS), "b")
+    left = packed.join(small(lots.withColumnRenamed("a", "id")), "id").select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.col("v").alias("va"))
+    right = packed.select(F.col("id").alias("b"), F.col("v").alias("vb")).join(small(dealt), "b")
     return right.join(left, ["a", "lot"]).select("a", "b", "va", "vb")
 
 
@@ -245,13 +279,18 @@ def _possible(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose whole sets have the Jaccard asked for."""
+    """Of pairs (a, b), those whose whole sets have the Jaccard asked for. Sets whose shingles begin alike share at most
+    what begins alike, and of shingles that begin like another of their set the fewer."""
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-    sets = materialize(docs.join(small(ids, IDS), "id", "left_semi").mapInArrow(_sets, "id long, set array<bigint>"), "sets")
-    both = _attach(pairs, sets).withColumn("common", F.size(F.array_intersect("va.set", "vb.set")))
+    sets = materialize(docs.join(small(ids), "id", "left_semi").mapInArrow(lean(_sets), "id long, n long, bits array<smallint>, twins long, set array<bigint>"), "sets")
+    both = _attach(pairs, sets.select("id", "n", "bits", "twins"))
+    common = F.size(F.array_intersect("va.bits", "vb.bits")) + F.least("va.twins", "vb.twins")
+    unsure = F.col("va.twins").isNull() | F.col("vb.twins").isNull()
+    near = materialize(both.where(unsure | (common >= _needed(F.col("va.n"), F.col("vb.n"), percent))).select("a", "b"), "near")
+    both = _attach(near, sets.select("id", "set")).withColumn("common", F.size(F.array_intersect("va.set", "vb.set")))
     linked = both.where(100 * F.col("common") >= percent * (F.size("va.set") + F.size("vb.set") - F.col("common")))
     out = materialize(linked.select("a", "b").distinct(), "links")
-    discard(sets)
+    discard(sets, near)
     return out
 
 
@@ -264,17 +303,19 @@ def _named(columns: DataFrame, known: DataFrame | None) -> DataFrame:
     """columns with each document's component so far."""
     if known is None:
         return columns.withColumn("component", F.col("id"))
-    names = small(known.select(F.col("node").alias("id"), "component"), IDS)
+    names = small(known.select(F.col("node").alias("id"), "component"))
     return columns.join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def _mixed(columns: DataFrame, known: DataFrame | None, percent: int, *more: Column) -> DataFrame:
-    """Entries (gram, id, at, n, component, m, ...) of columns with several components and an entry that can start a comparison;
-    m counts the column's entries, more are further aggregates of it."""
+    """Entries (gram, id, at, n, m, component, ...) of columns with several components and an entry that can start a comparison;
+    more are further aggregates of a column. A long column's entries are dealt in lots."""
     named = _named(columns, known)
     starts = F.col("at") <= F.col("n") - _needed(F.col("n"), F.col("n"), percent)
-    per = named.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or(starts).alias("any"), F.count("*").alias("m"), *more)
-    return named.join(per.where("lo < hi and any").drop("lo", "hi", "any"), "gram")
+    lots = F.ceil(F.col("m") / SALTED).cast("int")
+    per = named.groupBy("gram", "m").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or(starts).alias("any"), *more)
+    per = per.where("lo < hi and any").drop("lo", "hi", "any").withColumn("lot", F.explode(F.sequence(F.lit(0), lots - 1))).drop("m")
+    return named.withColumn("lot", F.pmod(F.xxhash64("id"), lots).cast("int")).join(per, ["gram", "lot"]).drop("lot")
 
 
 def _ask(columns: DataFrame, known: DataFrame | None, percent: int, turn: int) -> DataFrame:
@@ -290,17 +331,25 @@ def _ask(columns: DataFrame, known: DataFrame | None, percent: int, turn: int) -
     best = F.slice(F.sort_array(F.collect_list(F.struct("k", "hub")), asc=False), 1, 2 * HUBS)
     asked = asked.groupBy("id", "component").agg(best.alias("best")).select("id", "component", F.explode("best.hub").alias("hub"))
     if known is not None:
-        asked = asked.join(small(known.select(F.col("node").alias("hub"), F.col("component").alias("theirs")), IDS), "hub", "left").where(F.col("component") != F.coalesce("theirs", "hub"))
+        asked = asked.join(small(known.select(F.col("node").alias("hub"), F.col("component").alias("theirs"))), "hub", "left").where(F.col("component") != F.coalesce("theirs", "hub"))
     return asked.select(F.col("hub").alias("a"), F.col("id").alias("b"))
 
 
 def _near_sizes(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes allow the Jaccard asked for."""
-    size = lambda x: small(about.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}")), IDS)
+    size = lambda x: small(about.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}")))
     near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     return pairs.join(size("a"), "a").join(size("b"), "b").where(near).select("a", "b")
 
 
+def _components(links: list[DataFrame], before: DataFrame | None) -> DataFrame:
+    """What the links found so far join, in place of what fewer joined."""
+    out = materialize(components(reduce(DataFrame.unionAll, links)), "known")
+    if before is not None:
+        discard(before)
+    return out
+
+
 def ngram_jaccard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Components of the documents under Jaccard >= percent/100 of their sets of word 5-shingles.
 
@@ -312,34 +361,35 @@ def ngram_jaccard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
-    cells = docs.select("text").mapInArrow(_frequent, "cell long").distinct()
+    cells = docs.select("text").mapInArrow(lean(_frequent), "cell long").distinct()
     frequent = np.zeros(CELLS, dtype=bool)  # at most CELLS rows reach the driver, 4 MB go out
     frequent[cells.toArrow().column(0).to_numpy()] = True
     frequent = spark.sparkContext.broadcast(frequent)
-    rows = materialize(docs.mapInArrow(_prefixes(frequent, percent), "id long, n long, print binary, rare array<bigint>, common array<bigint>"), "rows")
+    rows = materialize(docs.mapInArrow(lean(_prefixes(frequent, percent)), "id long, n long, print binary, rare array<bigint>, common array<bigint>"), "rows")
+    plain = materialize(rows.select("id", "n", "print"), "plain")
 
     # Equal sets are one row of the matrix, named by its smallest document.
-    classes = materialize(rows.where("n > 0").groupBy("print").agg(F.min("id").alias("rep")), "classes")
+    classes = materialize(plain.where("n > 0").groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = classes.select(F.col("rep").alias("id"), "print")
-    heads = rows.join(small(reps, IDS), ["id", "print"], "left_semi").select("id", "n", (F.size("rare") + F.size("common")).alias("p"), "rare", "common")
+    heads = rows.join(small(reps), ["id", "print"], "left_semi")
+    heads = heads.select("id", "n", (F.size("rare") + F.size("common")).alias("p"), "rare", "common")
     about = materialize(heads.select("id", "n", "p"), "about")
 
-    entries = heads.agg(F.sum(F.size("rare"))).first()[0] or 0
+    entries, late = heads.agg(F.coalesce(F.sum(F.size("rare")), F.lit(0)), F.coalesce(F.sum(F.size("common")), F.lit(0))).first()
     blocks = max(1, -(-entries // BLOCK))
-    dealt = heads.select("id", "rare", "n").mapInArrow(_deal(blocks), "block int, lows binary, places binary, ids binary, sizes binary, counts binary")
-    rare = dealt.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_several, "gram long, id long, at int, n int")
+    dealt = heads.select("id", "rare", "n").mapInArrow(lean(_deal(blocks)), "block int, lows binary, places binary, ids binary, sizes binary, counts binary")
+    rare = dealt.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(lean(_several), "gram long, id long, at int, n int, m long")
     # A column of a frequent shingle may hold a large share of all documents: counts meet, not entries.
     common = heads.select("id", "n", F.size("rare").alias("before"), F.posexplode("common").alias("at", "gram"))
     common = common.select("gram", "id", (F.col("before") + F.col("at")).alias("at"), F.col("n").cast("int").alias("n"))
-    several = common.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
-    columns = materialize(rare.unionAll(common.join(several, "gram", "left_semi")), "columns")
+    several = materialize(common.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "several")
+    columns = materialize(rare.unionAll(spread_join(common, several, "gram", "m", late).select("gram", "id", "at", "n", "m")), "columns")
+    discard(rows, several)
     # Halves of shingles are enough to count what prefixes share at most; twins counts a document's equal halves.
     half = F.expr("cast(gram & 2147483647 as int)")
     shared = columns.groupBy("id").agg(F.collect_list(half).alias("grams")).withColumn("twins", F.size("grams") - F.size(F.array_distinct("grams")))
-    shared = materialize(shared.join(small(about, IDS), "id"), "shared")
-
-    lengths = columns.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > LONG)
-    long = materialize(columns.join(lengths.select("gram"), "gram", "left_semi"), "long")
+    shared = materialize(shared.join(small(about), "id"), "shared")
+    long = columns.where(F.col("m") > LONG)
     links, tried, known = [], [], None
     for turn in range(ROUNDS):
         asked = _near_sizes(_ask(long, known, percent, turn), about, percent)
@@ -347,11 +397,13 @@ def ngram_jaccard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
             asked = asked.join(before, ["a", "b"], "left_anti")
         asked = materialize(asked, "asked")
         tried.append(asked)
-        found = _verify(materialize(_possible(asked, shared, percent), "pairs"), docs, percent)
+        pairs = materialize(_possible(asked, shared, percent), "pairs")
+        found = _verify(pairs, docs, percent)
+        discard(pairs)
+        links.append(found)
         if found.isEmpty():
             break
-        links.append(found)
-        known = materialize(components(reduce(DataFrame.unionAll, links)), "known")
+        known = _components(links, known)
 
     # What is left is multiplied between components.
     mixed = _mixed(columns, known, percent).withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
@@ -368,13 +420,15 @@ def ngram_jaccard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     second = materialize(_possible(product, shared, percent), "pairs")
     if not second.isEmpty():
         links.append(_verify(second, docs, percent))
-        known = materialize(components(reduce(DataFrame.unionAll, links)), "known")
-    for x in (about, columns, long, shared, product, second, *tried):
-        discard(x)
-    final = known if known is not None else spark.createDataFrame([], "node long, component long")
-
-    named_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
+        known = _components(links, known)
+    discard(about, columns, shared, product, second, *tried, *links)
+    named_class = classes.select("print", "copies", F.col("rep").alias("component"))
+    if known is not None:
+        names = small(known.select(F.col("node").alias("rep"), F.col("component").alias("found")))
+        named_class = classes.join(names, "rep", "left").select("print", "copies", F.coalesce("found", "rep").alias("component"))
+    named_class = materialize(named_class, "named")
+    discard(classes, *([known] if known is not None else []))
     # Only texts with words join; the rest would all meet under the print of the empty set.
-    found = rows.where("n > 0").select("id", "n", "print").join(named_class, "print").select("id", "n", "component")
-    out = found.unionAll(rows.where("n = 0").select("id", "n", F.col("id").alias("component")))
+    found = spread_join(plain.where("n > 0"), named_class, "print", "copies", plain.count()).select("id", "n", "component")
+    out = found.unionAll(plain.where("n = 0").select("id", "n", F.col("id").alias("component")))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

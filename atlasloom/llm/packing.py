@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, lean, materialize
 
 CONTEXT = 2048
 END = 0  # the id that closes each document
@@ -29,7 +29,7 @@ ITEMS = 100_000  # items that one task packs
 SLACK = 8  # tokens that a bin may lack and still count as nearly full
 LEAST_GAIN = 0.01  # a round that leaves more than 1 - this of its bins underfull is the last
 CACHED = 100_000  # distinct words of which a worker keeps the ids, the first it meets,
-PIECES = 400_000  # and distinct pieces of words
+PIECES = 200_000  # and distinct pieces of words
 
 MEMBER = "struct<doc_id:{id},piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
 
@@ -104,8 +104,8 @@ def _cutter(tokenizer, id_type):
         full = 0
         for batch in batches:
             ids, rows = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = token_bytes(text, tokenizer)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = token_bytes(text.as_py(), tokenizer)
                 for piece, at in enumerate(range(0, len(data), 4 * CONTEXT)):
                     part = data[at : at + 4 * CONTEXT]
                     ids.append(doc_id)
@@ -127,7 +127,7 @@ def cut_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", toke
 
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     kind = read.schema["doc_id"].dataType
-    return read.mapInArrow(_cutter(tokenizer, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long")
+    return read.mapInArrow(lean(_cutter(tokenizer, to_arrow_type(kind))), f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long")
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CONTEXT) -> list[list[int]]:
@@ -210,7 +210,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     schema = f"sequence_id long, length long, members array<{MEMBER.format(id=kind)}>"
     for round_ in range(1, 64):
         parts = max(1, -(-n // items))
-        packed = materialize(left.select("length", "members").repartition(parts).mapInArrow(_packer(round_), schema), f"bins{round_}")
+        packed = materialize(left.select("length", "members").repartition(parts).mapInArrow(lean(_packer(round_)), schema), f"bins{round_}")
         if last is not None:
             done.append(last.where(F.col("length") >= CONTEXT - SLACK))
         last, left = packed, packed.where(F.col("length") < CONTEXT - SLACK)
@@ -219,6 +219,6 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
             break
         n = open_
     bins = reduce(DataFrame.unionAll, [*done, last])
-    placed = bins.mapInArrow(_places, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = bins.mapInArrow(lean(_places), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return whole.select(placed.columns).unionAll(placed)
 

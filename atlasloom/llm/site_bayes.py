@@ -25,7 +25,6 @@ FOLDS = 2
 CALIBRATION_ROWS = 200_000  # labelled documents, by hash of doc_id, that fit the calibration's five weights
 SOFT = 0.25  # what an unlabelled document counts for in its site's rate
 MOST_STRENGTH = 1000.0
-ROWS = 4_000_000
 CACHED = 400_000
 FEATURES = ("words", "shapes", "repeated", "length")
 
@@ -141,7 +140,7 @@ def site_bayes(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     spark = docs.sparkSession
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     marks = labels.select(F.col(labels.columns[0]).alias("doc_id"), F.col("good").cast("int").alias("good")).where("good is not null").groupBy("doc_id").agg(F.min("good").alias("good"))
-    marked = read.join(small(marks, ROWS), "doc_id", "left").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
+    marked = read.join(small(marks), "doc_id", "left").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
     counts = marked.where("good is not null").select("text", "good", "fold").mapInArrow(_count, "fold long, good long, bucket long, n long")
     counts = counts.groupBy("fold", "good", "bucket").agg(F.sum("n").alias("n"))
     tables = spark.sparkContext.broadcast(_tables(counts))
@@ -172,7 +171,7 @@ def site_bayes(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     part = sites.groupBy("doc_id", "on_host").agg((1 / F.count("*")).alias("part"))
     # part: of a document's weight on a host, what one of its paths there has.
     sites = materialize(sites.join(part, ["doc_id", "on_host"]), "sites")
-    stood = own.join(small(sites, ROWS), "doc_id", "left")
+    stood = own.join(small(sites), "doc_id", "left")
     at_path = F.when(F.col("on_host").isNull(), F.col("path")).otherwise(F.col("on_path"))
     stood = stood.select(F.coalesce("on_host", "host").alias("host"), at_path.alias("path"), F.coalesce("part", F.lit(1.0)).alias("part"), "n", "k")
     paths = stood.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.col("n") * F.col("part")).alias("host_n"), F.sum(F.col("k") * F.col("part")).alias("host_k"))
@@ -181,16 +180,16 @@ def site_bayes(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     paths = paths.drop("host_n", "host_k")
     m = _strength(hosts, F.lit(whole))
     hosts = hosts.select("host", ((F.col("k") + m * whole) / (F.col("n") + m)).alias("host_rate"))
-    joined = paths.join(small(hosts, ROWS), "host")
+    joined = paths.join(small(hosts), "host")
     m = _strength(joined, F.col("host_rate"))
     rates = joined.select("host", "path", "host_rate", ((F.col("k") + m * F.col("host_rate")) / (F.col("n") + m)).alias("path_rate"))
     rates = materialize(rates.withColumn("shift", _logit(F.col("path_rate")) - _logit(F.lit(whole))), "rates")
-    told = sites.join(small(rates.withColumnsRenamed({"host": "on_host", "path": "on_path"}), ROWS), ["on_host", "on_path"]).groupBy("doc_id").agg(
+    told = sites.join(small(rates.withColumnsRenamed({"host": "on_host", "path": "on_path"})), ["on_host", "on_path"]).groupBy("doc_id").agg(
         (F.sum(F.col("host_rate") * F.col("part")) / F.sum("part")).alias("host_rates"),
         F.avg("path_rate").alias("path_rates"),
         F.sum(F.col("shift") * F.col("part")).alias("shifts"),
     )
-    out = own.join(small(materialize(told, "told"), ROWS), "doc_id", "left").join(small(rates, ROWS), ["host", "path"], "left")
+    out = own.join(small(materialize(told, "told")), "doc_id", "left").join(small(rates), ["host", "path"], "left")
     score = 1 / (1 + F.exp(-(F.col("z") + F.coalesce("shifts", "shift"))))
     out = out.select("doc_id", "evidence", F.coalesce("host_rates", "host_rate").alias("host_rate"), F.coalesce("path_rates", "path_rate").alias("path_rate"), score.alias("score"))
     return out.withColumn("kept", F.col("score") >= 0.5)

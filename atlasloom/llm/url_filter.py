@@ -15,7 +15,6 @@ SPREAD = 3.0  # pages per distinct segment below which all segments of a node ar
 Z = 1.96  # branches nearer than this to their pooled siblings are merged with them
 PRIOR = 10.0  # labelled pages that the corpus rate counts for in a template
 IMPURE = 0.5
-NODES = 1_000_000
 ANY = "*"
 
 
@@ -55,9 +54,9 @@ def _templates(leaves: DataFrame, depth: int) -> DataFrame:
         here = F.slice("template", 1, k)
         node = out.where(F.size("template") > k).groupBy("host", here.alias("head"), F.col("template")[k].alias("segment")).agg(F.sum("n").alias("n"))
         spread = node.groupBy("host", "head").agg((F.sum("n") / F.count("*")).alias("spread"))
-        rare = node.join(small(spread, NODES), ["host", "head"]).where((F.col("n") < SUPPORT) | (F.col("spread") < SPREAD)).where(~F.col("segment").startswith(ANY))
+        rare = node.join(small(spread), ["host", "head"]).where((F.col("n") < SUPPORT) | (F.col("spread") < SPREAD)).where(~F.col("segment").startswith(ANY))
         rare = materialize(rare.select("host", "head", "segment", F.lit(True).alias("rare")), "rare")
-        out = out.withColumn("head", here).withColumn("segment", F.get("template", F.lit(k))).join(small(rare, NODES), ["host", "head", "segment"], "left")
+        out = out.withColumn("head", here).withColumn("segment", F.get("template", F.lit(k))).join(small(rare), ["host", "head", "segment"], "left")
         changed = F.concat(F.col("head"), F.array(F.lit(ANY)), F.slice("template", k + 2, depth))
         out = out.withColumn("template", F.when(F.col("rare"), changed).otherwise(F.col("template"))).drop("head", "segment", "rare")
         if k % CUT == CUT - 1:
@@ -73,13 +72,13 @@ def _merged(nodes: DataFrame, depth: int) -> DataFrame:
         key = F.when(F.size("into") > k, F.concat(F.slice("into", 1, k), F.array(F.lit(ANY)), F.slice("into", k + 2, depth))).otherwise(F.col("into"))
         branch = out.groupBy("host", "into").agg(F.sum("seen").alias("s"), F.sum("bad").alias("b")).withColumn("key", key)
         pool = branch.groupBy("host", "key").agg(F.sum("s").alias("ps"), F.sum("b").alias("pb"))
-        both = branch.join(small(pool, NODES), ["host", "key"])
+        both = branch.join(small(pool), ["host", "key"])
         rest, rest_bad = F.col("ps") - F.col("s"), F.col("pb") - F.col("b")
         p = (F.col("pb") + 0.5) / (F.col("ps") + 1.0)
         z = F.try_divide(F.try_divide(F.col("b"), F.col("s")) - F.try_divide(rest_bad, rest), F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1), F.col("s")) + F.try_divide(F.lit(1), rest))))
         alike = F.when((F.col("s") > 0) & (rest > 0), F.abs(z) < Z).otherwise(True)
         move = materialize(both.select("host", "into", F.when(alike, F.col("key")).otherwise(F.col("into")).alias("moved")), "merge")
-        out = out.join(small(move, NODES), ["host", "into"]).withColumn("into", F.col("moved")).drop("moved")
+        out = out.join(small(move), ["host", "into"]).withColumn("into", F.col("moved")).drop("moved")
         if k % CUT == CUT - 1:
             out = materialize(out, "level")
     return out
