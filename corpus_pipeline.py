@@ -14,8 +14,6 @@ from atlasloom.llm.quality_rules import measure
 
 #: A document nearer to no profile than this, of 1, is in none of the languages learned.
 LEAST_SCORE = 0.25
-#: More decisions than this join by a shuffle, not a broadcast.
-DECISIONS = 4_000_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -44,7 +42,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = materialize(ngram_jaccard(keyed, "__key").select(F.col("doc_id").alias("__key"), "component_id"), "found")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))["__key"].alias("__key")
     kept = materialize(keyed.select("__key", "doc_id").join(found, "__key").groupBy("component_id").agg(first).select("__key"), "kept")
-    out = keyed.join(small(kept, DECISIONS), "__key", "left_semi").select(docs.columns)
+    out = keyed.join(small(kept), "__key", "left_semi").select(docs.columns)
     # Texts without words are near copies of nothing, equal rows among them too.
     return out if docs.groupBy("doc_id").count().where("count > 1").isEmpty() else out.dropDuplicates()
 
@@ -53,7 +51,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document, by its row, as often as the mix takes it."""
     keyed = _keyed(docs)
     copies = materialize(mix(keyed, "__key").where("copies > 0").select(F.col("doc_id").alias("__key"), F.col("copies").alias("__copies")), "copies")
-    repeated = keyed.join(small(copies, DECISIONS), "__key")
+    repeated = keyed.join(small(copies), "__key")
     return repeated.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)
 
 
