@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,9 +42,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, **watched: Column) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: later jobs neither
-    recompute it nor depend on an executor that held it. The shuffles of the write are deleted as it ends."""
+    recompute it nor depend on an executor that held it. The shuffles of the write are deleted as it ends.
+    What the write counted is in the table's seen: n, its rows, and the aggregates watched."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     before = {k: spark.conf.get(k) for k in _SETTINGS}
@@ -52,12 +53,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
         for k, v in _SETTINGS.items():
             spark.conf.set(k, v)
         # Snappy keeps buffers outside the heap until a collection; zstd frees its own.
-        df.write.option("compression", "zstd").parquet(path)
+        counts = Observation()
+        df.observe(counts, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in watched.items())).write.option("compression", "zstd").parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    out.seen = counts.get
     return out
 
 
@@ -82,10 +85,11 @@ def _bytes(field: T.StructField) -> "F.Column":
     return F.octet_length(F.to_json(F.struct(value)))
 
 
-def small(df: DataFrame, most: int = BROADCAST) -> DataFrame:
-    """df with a broadcast hint if its rows hold at most so many bytes; otherwise Spark shuffles it."""
-    rows = most // (16 + 8 * len(df.columns))
-    if df.limit(rows + 1).count() > rows:
+def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST) -> DataFrame:
+    """df with a broadcast hint if its rows hold at most so many bytes; otherwise Spark shuffles it. rows, if known, is as many
+    as df can have, which saves counting them."""
+    fit = most // (16 + 8 * len(df.columns))
+    if (df.limit(fit + 1).count() if rows is None else rows) > fit:
         return df
     wide = [f for f in df.schema.fields if not isinstance(f.dataType, _FIXED)]
     if wide:
@@ -95,11 +99,12 @@ def small(df: DataFrame, most: int = BROADCAST) -> DataFrame:
     return F.broadcast(df)
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, weight: str, rows: int) -> DataFrame:
-    """many, of about so many rows, with the row of one, unique by key, for each key; weight counts the key's rows in many.
+def spread_join(many: DataFrame, one: DataFrame, key: str, weight: str, rows: int, keys: int | None = None) -> DataFrame:
+    """many, of about so many rows, with the row of one, unique by key, for each key, of which there are at most so many; weight
+    counts the key's rows in many.
     A table that is small goes to every task. Otherwise the hot keys' rows alone do, fewer than HOT, and a key that is
     shuffled holds at most a share of 1 / HOT of the rows."""
-    if (sent := small(one)) is not one:
+    if (sent := small(one, keys)) is not one:
         return many.join(sent, key)
     hot = F.col(weight) > max(HOT, rows // HOT)
     held = many.join(F.broadcast(one.where(hot)), key)

@@ -13,7 +13,7 @@ def _beside(edges: DataFrame, least: DataFrame, rows: int, held: list[DataFrame]
     if rows * 48 <= BROADCAST:
         return edges.join(F.broadcast(least), "a")
     held.append(materialize(least, "least"))
-    return spread_join(edges, held[-1], "a", "degree", rows)
+    return spread_join(edges, held[-1], "a", "degree", rows, held[-1].seen["n"])
 
 
 def _large_star(edges: DataFrame, rows: int, held: list[DataFrame]) -> DataFrame:
@@ -36,19 +36,19 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     not sent to one task. Rows with a null end and loops are ignored; no edges give no rows."""
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     current = materialize(ordered, tag)
-    mark, rows = None, current.count()
-    while True:
+    marks = {"hashed": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    mark, rows = None, current.seen["n"]
+    while rows:
         held = [current]
         large = _large_star(current, rows, held)
         if rows * 48 > BROADCAST:  # else computing it again costs less than writing it
             large = materialize(large, tag)
             held.append(large)
-        following = materialize(_small_star(large, rows, held), tag)
-        seen = following.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        current = materialize(_small_star(large, rows, held), tag, **marks)
         discard(*held)
-        current = following
-        if (seen.n, seen.h) == mark:
+        rows = current.seen["n"]
+        if current.seen == mark:
             break
-        mark, rows = (seen.n, seen.h), seen.n
+        mark = current.seen
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)

@@ -130,8 +130,8 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     # Components of extreme size would overflow when squared; a cosine does not change with scale.
     top = F.array_max(F.transform("embedding", F.abs))
     rows = rows.withColumn("embedding", F.when(F.col("good") & ((top > 1e100) | (top < 1e-100)), F.transform("embedding", lambda v: v / top)).otherwise(F.col("embedding")))
-    classes = materialize(rows.where("good").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "vectors")
-    count, wide = classes.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    classes = materialize(rows.where("good").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "vectors", wide=F.max(F.size("embedding")))
+    count, wide = classes.seen["n"], classes.seen["wide"] or 0
     n = max(1, -(-count // max(1, strip * WIDE // max(WIDE, wide))))
     dealt = classes.withColumn("strip", F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     dealt = dealt.withColumn("i", F.least("strip", "other")).withColumn("j", F.greatest("strip", "other"))

@@ -43,7 +43,8 @@ PIECE = 1 << 22  # bytes of text whose words are hashed at once
 LONG = 4  # documents of a column beyond which it has hubs,
 HUBS = 4  # as many in each round
 BEFORE = 4  # shared columns before this one by which a pair is known to have met already
-ROUNDS = 3  # of hubs at most; one that finds no link is the last
+ROUNDS = 3  # of hubs at most; one that finds less than a share of 1 / FEWER of the first one's links is the last
+FEWER = 10
 SKETCH = 16  # bits of each shingle that bound an overlap,
 SKETCHED = 4096  # in sets of at most so many; larger ones are verified at once
 SALTED = 100_000  # entries of one column that go to one task
@@ -257,13 +258,13 @@ def _meet(at, n, other_at, m, percent: int) -> Column:
 
 
 def _attach(pairs: DataFrame, values: DataFrame) -> DataFrame:
-    """pairs (a, b) with the structs va and vb of values (id, ...). The partners of one document are dealt in lots, so
+    """Written pairs (a, b) with the structs va and vb of values (id, ...). The partners of one document are dealt in lots, so
     that no task gets all partners of a document that very many others are compared with."""
     packed = values.select("id", F.struct(*(c for c in values.columns if c != "id")).alias("v"))
     lots = pairs.groupBy("a").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
     dealt = pairs.join(lots, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int").alias("lot"))
-    left = packed.join(small(lots.withColumnRenamed("a", "id")), "id").select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.col("v").alias("va"))
-    right = packed.select(F.col("id").alias("b"), F.col("v").alias("vb")).join(small(dealt), "b")
+    left = packed.join(small(lots.withColumnRenamed("a", "id"), pairs.seen["n"]), "id").select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.col("v").alias("va"))
+    right = packed.select(F.col("id").alias("b"), F.col("v").alias("vb")).join(small(dealt, pairs.seen["n"]), "b")
     return right.join(left, ["a", "lot"]).select("a", "b", "va", "vb")
 
 
@@ -282,7 +283,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose whole sets have the Jaccard asked for. Sets whose shingles begin alike share at most
     what begins alike, and of shingles that begin like another of their set the fewer."""
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-    sets = materialize(docs.join(small(ids), "id", "left_semi").mapInArrow(lean(_sets), "id long, n long, bits array<smallint>, twins long, set array<bigint>"), "sets")
+    sets = materialize(docs.join(small(ids, 2 * pairs.seen["n"]), "id", "left_semi").mapInArrow(lean(_sets), "id long, n long, bits array<smallint>, twins long, set array<bigint>"), "sets")
     both = _attach(pairs, sets.select("id", "n", "bits", "twins"))
     common = F.size(F.array_intersect("va.bits", "vb.bits")) + F.least("va.twins", "vb.twins")
     unsure = F.col("va.twins").isNull() | F.col("vb.twins").isNull()
@@ -303,7 +304,7 @@ def _named(columns: DataFrame, known: DataFrame | None) -> DataFrame:
     """columns with each document's component so far."""
     if known is None:
         return columns.withColumn("component", F.col("id"))
-    names = small(known.select(F.col("node").alias("id"), "component"))
+    names = small(known.select(F.col("node").alias("id"), "component"), known.seen["n"])
     return columns.join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
@@ -331,13 +332,13 @@ def _ask(columns: DataFrame, known: DataFrame | None, percent: int, turn: int) -
     best = F.slice(F.sort_array(F.collect_list(F.struct("k", "hub")), asc=False), 1, 2 * HUBS)
     asked = asked.groupBy("id", "component").agg(best.alias("best")).select("id", "component", F.explode("best.hub").alias("hub"))
     if known is not None:
-        asked = asked.join(small(known.select(F.col("node").alias("hub"), F.col("component").alias("theirs"))), "hub", "left").where(F.col("component") != F.coalesce("theirs", "hub"))
+        asked = asked.join(small(known.select(F.col("node").alias("hub"), F.col("component").alias("theirs")), known.seen["n"]), "hub", "left").where(F.col("component") != F.coalesce("theirs", "hub"))
     return asked.select(F.col("hub").alias("a"), F.col("id").alias("b"))
 
 
 def _near_sizes(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes allow the Jaccard asked for."""
-    size = lambda x: small(about.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}")))
+    size = lambda x: small(about.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}")), about.seen["n"])
     near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     return pairs.join(size("a"), "a").join(size("b"), "b").where(near).select("a", "b")
 
@@ -371,7 +372,7 @@ def ngram_jaccard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     # Equal sets are one row of the matrix, named by its smallest document.
     classes = materialize(plain.where("n > 0").groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = classes.select(F.col("rep").alias("id"), "print")
-    heads = rows.join(small(reps), ["id", "print"], "left_semi")
+    heads = rows.join(small(reps, classes.seen["n"] * 2), ["id", "print"], "left_semi")
     heads = heads.select("id", "n", (F.size("rare") + F.size("common")).alias("p"), "rare", "common")
     about = materialize(heads.select("id", "n", "p"), "about")
 
@@ -383,12 +384,12 @@ def ngram_jaccard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     common = heads.select("id", "n", F.size("rare").alias("before"), F.posexplode("common").alias("at", "gram"))
     common = common.select("gram", "id", (F.col("before") + F.col("at")).alias("at"), F.col("n").cast("int").alias("n"))
     several = materialize(common.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "several")
-    columns = materialize(rare.unionAll(spread_join(common, several, "gram", "m", late).select("gram", "id", "at", "n", "m")), "columns")
+    columns = materialize(rare.unionAll(spread_join(common, several, "gram", "m", late, several.seen["n"]).select("gram", "id", "at", "n", "m")), "columns")
     discard(rows, several)
     # Halves of shingles are enough to count what prefixes share at most; twins counts a document's equal halves.
     half = F.expr("cast(gram & 2147483647 as int)")
     shared = columns.groupBy("id").agg(F.collect_list(half).alias("grams")).withColumn("twins", F.size("grams") - F.size(F.array_distinct("grams")))
-    shared = materialize(shared.join(small(about), "id"), "shared")
+    shared = materialize(shared.join(small(about, about.seen["n"]), "id"), "shared")
     long = columns.where(F.col("m") > LONG)
     links, tried, known = [], [], None
     for turn in range(ROUNDS):
@@ -401,9 +402,10 @@ def ngram_jaccard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
         found = _verify(pairs, docs, percent)
         discard(pairs)
         links.append(found)
-        if found.isEmpty():
+        if found.seen["n"]:
+            known = _components(links, known)
+        if found.seen["n"] * FEWER <= links[0].seen["n"]:
             break
-        known = _components(links, known)
 
     # What is left is multiplied between components.
     mixed = _mixed(columns, known, percent).withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
@@ -418,17 +420,17 @@ def ngram_jaccard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     product = product.where(_meet("at_a", "n_a", "at_b", "n_b", percent)).where(~F.arrays_overlap("before_a", "before_b"))
     product = materialize(product.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "product")
     second = materialize(_possible(product, shared, percent), "pairs")
-    if not second.isEmpty():
+    if second.seen["n"]:
         links.append(_verify(second, docs, percent))
         known = _components(links, known)
     discard(about, columns, shared, product, second, *tried, *links)
     named_class = classes.select("print", "copies", F.col("rep").alias("component"))
     if known is not None:
-        names = small(known.select(F.col("node").alias("rep"), F.col("component").alias("found")))
+        names = small(known.select(F.col("node").alias("rep"), F.col("component").alias("found")), known.seen["n"])
         named_class = classes.join(names, "rep", "left").select("print", "copies", F.coalesce("found", "rep").alias("component"))
     named_class = materialize(named_class, "named")
     discard(classes, *([known] if known is not None else []))
     # Only texts with words join; the rest would all meet under the print of the empty set.
-    found = spread_join(plain.where("n > 0"), named_class, "print", "copies", plain.count()).select("id", "n", "component")
+    found = spread_join(plain.where("n > 0"), named_class, "print", "copies", plain.seen["n"], classes.seen["n"] * 2).select("id", "n", "component")
     out = found.unionAll(plain.where("n = 0").select("id", "n", F.col("id").alias("component")))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lean, materialize
+from .common import lean, materialize
 
 CONTEXT = 2048
 END = 0  # the id that closes each document
@@ -202,19 +202,20 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     further round can fill are emitted as they are. Other columns are not read.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    pieces = materialize(cut_pieces(docs, doc_id, text, tokenizer), "pieces")
+    pieces = materialize(cut_pieces(docs, doc_id, text, tokenizer), "pieces", left=F.count_if(F.col("sequence_id").isNull()))
     whole = pieces.where("sequence_id is not null").withColumn("offset", F.lit(0).cast("long"))
     member = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
     left = pieces.where("sequence_id is null").select("length", F.array(member).alias("members"))
-    n, done, last = left.count(), [], None
+    n, done, last = pieces.seen["left"], [], None
     schema = f"sequence_id long, length long, members array<{MEMBER.format(id=kind)}>"
     for round_ in range(1, 64):
         parts = max(1, -(-n // items))
-        packed = materialize(left.select("length", "members").repartition(parts).mapInArrow(lean(_packer(round_)), schema), f"bins{round_}")
+        packed = left.select("length", "members").repartition(parts).mapInArrow(lean(_packer(round_)), schema)
+        packed = materialize(packed, f"bins{round_}", open=F.count_if(F.col("length") < CONTEXT - SLACK))
         if last is not None:
             done.append(last.where(F.col("length") >= CONTEXT - SLACK))
         last, left = packed, packed.where(F.col("length") < CONTEXT - SLACK)
-        open_ = left.count()
+        open_ = packed.seen["open"]
         if parts == 1 or open_ > (1 - LEAST_GAIN) * n:
             break
         n = open_
