@@ -27,3 +27,21 @@ def test_null_and_clashing_ids_lose_nothing(spark):
     mixed = {r.text for r in cp.mixture(spark, kept, SF).collect()}
     copies = cp.mix(kept.withColumn("k", cp.F.monotonically_increasing_id()), "k").where("copies > 0").count()
     assert len(mixed) == copies and {new[0]["text"], new[1]["text"]} & mixed
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    more = {"__key": 1, "__lang": "x", "__rules": "y", "__copies": 3, "__copy": 4, "n": 5, "id": 6}
+    docs = table(spark, SF, "documents").limit(60)
+    wide = docs.withColumns({k: cp.F.lit(v) for k, v in more.items()})
+    for k, (_, stage) in enumerate(cp.STAGES[:2] + cp.STAGES[3:4]):
+        wide = materialize(stage(spark, wide, SF), f"wide{k}")
+        assert wide.columns == [*docs.columns, *more] and wide.count() > 0
+        assert {tuple(r)[-len(more) :] for r in wide.collect()} == {tuple(more.values())}
+
+
+def test_language_goes_by_its_profiles(spark):
+    """A plain count of ranks decides, and texts of another script or without letters go."""
+    docs = table(spark, SF, "documents").where("text is not null")
+    other = [(-1, "Съешь же ещё этих мягких французских булок " * 9, None, "s", 1), (-2, "今日は天気がいいです " * 20, None, "s", 1), (-3, "12 34 !!", "en", "s", 1), (-4, None, "en", "s", 1), (-5, "", "en", "s", 1)]
+    out = cp.language(spark, docs.unionAll(spark.createDataFrame(other, docs.schema)), SF)
+    assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in docs.where(cp.F.col("text").rlike("[A-Za-z]")).select("doc_id").collect()}
