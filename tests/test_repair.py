@@ -105,6 +105,13 @@ def test_rescue():
     assert PLAIN.fill_middle(kept, "Cống Đường sách / TP. Hồ Chí Minh") == kept
 
 
+def test_gaps():
+    assert r.gaps(list("abc"), list("abxc")) == ([(2, 3, False)], 0, 0)
+    assert r.gaps(list("abc"), list("bcxy")) == ([(2, 4, True)], 1, None)
+    assert r.gaps(list("ab"), list("ab")) == ([], 0, 0) and r.gaps([], list("a")).lost == 0
+    assert r.gaps(list("ab"), list("xaxb")) == ([(2, 3, False)], 0, 1)
+
+
 def test_needs_rescue():
     for text in ("", "Tram vin nông nân", "quantousus", "A", "XOKOHAMA"):
         assert PLAIN.needs_rescue(text)
@@ -115,10 +122,10 @@ def test_needs_rescue():
 def test_arbitration():
     pairs = [("Hello Thợ-Cứu hộ xe", "Hello Thọ - Cứu Hộ Xe / Máy & Sửa Xe Lưu Động"), ("Đồ cúng Thiên", "Đồ Cúng Thiên / Phúc - CN Phú Mỹ")]
     for primary, other in pairs:
-        assert arb.adds_noise(PLAIN, primary, other) and arb.names_more(PLAIN, primary, other)
+        assert arb.adds_noise(primary, other) and arb.names_more(PLAIN, primary, other)
     rejected = [("Saigon Central / Post Office", "Saigon Central / Post Office / Ao Dai City Tour in Saigon / Group CLR English Chine"), ("MCM Post Office", "MCM Post Office / 5.0 (121) / Luxury for her at DAFC Onl")]
     for primary, other in rejected:
-        assert arb.adds_noise(PLAIN, primary, other) and not arb.names_more(PLAIN, primary, other)
+        assert arb.adds_noise(primary, other) and not arb.names_more(PLAIN, primary, other)
     assert arb.regresses(PLAIN, "UBND phường sài Gòn", "JBND - Công Sài Gòn")
     assert not arb.regresses(PLAIN, "Olivia s Prime Steakhouse", "Olivia's Prime Steakhouse")
     assert arb.short_brand(PLAIN, "GEOX")
