@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,19 +40,19 @@ def _safe_length(name: Column, candidate: Column) -> Column:
     return (a > 0) & (b > 0) & (F.abs(a - b) <= 2) & ((b <= a) | (text_f1(name, candidate) >= 0.86))
 
 
-def resolve_names(pois: DataFrame, nearby: DataFrame, key: str, accept: float = ACCEPT, review: float = REVIEW) -> DataFrame:
+def resolve_names(pois: DataFrame, nearby: DataFrame, key: str, accept: float = ACCEPT, review: float = REVIEW, chars: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Keep each name or take a nearby one.
 
     pois(key, tile, name, lat, lng) and nearby(tile, ordinal, label, lat, lng, source); coordinates may be null.
     Returns key, selected, source, score, action, needs_review, reason. Of candidates with equal
-    scores the first wins; one that scores 0 never does.
+    scores the first wins; one that scores 0 never does. chars: see match_score.
     """
     first = first_spellings(nearby).select("tile", "ordinal")
     there = nearby.join(first, ["tile", "ordinal"], "left_semi").select("tile", "ordinal", F.col("label"), F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng"), "source")
     cleaned = strip(F.coalesce("name", F.lit("")))
     own = pois.withColumn("cleaned", cleaned)
     metres = candidate_metres(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng"))
-    pairs = own.join(there, "tile").withColumn("metres", metres).withColumn("s", match_score(F.col("cleaned"), F.col("label"), F.col("metres"))).where("s > 0")
+    pairs = own.join(there, "tile").withColumn("metres", metres).withColumn("s", match_score(F.col("cleaned"), F.col("label"), F.col("metres"), chars)).where("s > 0")
     best = pairs.groupBy(key).agg(F.max_by(F.struct(strip(F.col("label")).alias("label"), "metres", "s", "source"), F.struct("s", -F.col("ordinal"))).alias("best"))
     out = own.join(best, key, "left").withColumn("score", F.coalesce("best.s", F.lit(0.0)))
 

@@ -55,4 +55,6 @@ def test_sql_functions(spark):
     assert (row.f, row.s, row.n, row.h, tuple(row.t), row.b, row.c, row.r) == ("duong", "quan_1", 2, 111195.0, (0, 0), True, "Bình Quán", 1.0)
     square = json.dumps({"type": "Polygon", "coordinates": [[[106.69, 10.77], [106.71, 10.77], [106.71, 10.79], [106.69, 10.79]]]})
     assert spark.sql(f"SELECT * FROM tiles_for_boundary('{square}', 10.78, 106.70, 16)").count() > 0
-    assert len(names) == len(set(names)) == 19
+    assert len(names) == len(set(names)) == 23
+    row = spark.sql(f"SELECT token_f1('Quán Phở', 'quan pho Hòa') f, is_junk_line('4.5 (12)') j, is_junk_line('Quán Phở') k, point_in_polygon(10.78, 106.70, '{square}') i, point_in_polygon(10.80, 106.70, '{square}') o, point_in_polygon(NULL, 106.70, '{square}') n, char_similarity('pho bo', 'pho boo') c").first()
+    assert (row.f, row.j, row.k, row.i, row.o, row.n) == (0.8, True, False, True, False, None) and abs(row.c - 12 / 13) < 1e-9
