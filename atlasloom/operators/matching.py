@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import brand_sensitive, suspicious_short
-from ..functions.scores import candidate_metres, match_score, text_f1
+from ..functions.scores import candidate_metres, numbered, numbered_f1, weighed
 from ..functions.text import folded_tokens, name_key, strip
 
 SPATIAL_M = 18.0
@@ -34,12 +34,6 @@ def first_spellings(nearby: DataFrame) -> DataFrame:
     return kept.groupBy("tile", "label_key").agg(F.min("ordinal").alias("ordinal"), F.min_by("label", "ordinal").alias("label"))
 
 
-def _safe_length(name: Column, candidate: Column) -> Column:
-    """Word counts differ by two at most, and a longer candidate has nearly the same words."""
-    a, b = F.size(folded_tokens(name)), F.size(folded_tokens(candidate))
-    return (a > 0) & (b > 0) & (F.abs(a - b) <= 2) & ((b <= a) | (text_f1(name, candidate) >= 0.86))
-
-
 def resolve_names(pois: DataFrame, nearby: DataFrame, key: str, accept: float = ACCEPT, review: float = REVIEW, chars: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Keep each name or take a nearby one.
 
@@ -49,17 +43,25 @@ def resolve_names(pois: DataFrame, nearby: DataFrame, key: str, accept: float =
     """
     first = first_spellings(nearby).select("tile", "ordinal")
     there = nearby.join(first, ["tile", "ordinal"], "left_semi").select("tile", "ordinal", F.col("label"), F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng"), "source")
+    # Words are found once a name and once a label, not once a pair.
+    there = there.withColumn("c_words", folded_tokens(F.col("label"))).withColumn("c_numbered", numbered(F.col("c_words")))
     cleaned = strip(F.coalesce("name", F.lit("")))
-    own = pois.withColumn("cleaned", cleaned)
-    metres = candidate_metres(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng"))
-    pairs = own.join(there, "tile").withColumn("metres", metres).withColumn("s", match_score(F.col("cleaned"), F.col("label"), F.col("metres"), chars)).where("s > 0")
-    best = pairs.groupBy(key).agg(F.max_by(F.struct(strip(F.col("label")).alias("label"), "metres", "s", "source"), F.struct("s", -F.col("ordinal"))).alias("best"))
-    out = own.join(best, key, "left").withColumn("score", F.coalesce("best.s", F.lit(0.0)))
-
-    name, cand = F.col("cleaned"), F.coalesce("best.label", F.lit(""))
-    n, c = F.size(folded_tokens(name)), F.size(folded_tokens(cand))
+    own = pois.withColumn("cleaned", cleaned).withColumn("words", folded_tokens(F.col("cleaned"))).withColumn("numbered", numbered(F.col("words")))
+    # Dealt by number: the pairs are many times the rows that are shuffled, so tasks must not be merged by their bytes.
+    dealt = own.select(key, "tile", "lat", "lng", "words", "numbered").repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tile")
+    pairs = dealt.join(there, "tile")
+    pairs = pairs.withColumn("metres", candidate_metres(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng"))).withColumn("f1", numbered_f1(F.col("numbered"), F.col("c_numbered")))
+    like = chars(F.array_join("words", " "), F.array_join("c_words", " ")) if chars else F.col("f1")
+    pairs = pairs.withColumn("s", weighed(like, F.col("f1"), F.col("metres"))).where("s > 0")
+    best = pairs.groupBy(key).agg(F.max_by(F.struct("label", "metres", "s", "f1", F.size("c_words").alias("c"), "source"), F.struct("s", -F.col("ordinal"))).alias("best"))
+    out = own.join(best, key, "left").withColumn("score", F.coalesce("best.s", F.lit(0.0))).withColumn("stripped", strip(F.coalesce("best.label", F.lit(""))))
+
+    name, cand = F.col("cleaned"), F.col("stripped")
+    n, c = F.size("words"), F.coalesce("best.c", F.lit(0))
     near = F.coalesce(F.col("best.metres") <= SPATIAL_M, F.lit(False))
-    confident = F.col("best").isNotNull() & (F.col("score") >= accept) & _safe_length(name, cand)
+    # Word counts differ by two at most, and a longer candidate has nearly the same words.
+    safe_length = (n > 0) & (c > 0) & (F.abs(n - c) <= 2) & ((c <= n) | (F.coalesce("best.f1", F.lit(0.0)) >= 0.86))
+    confident = F.col("best").isNotNull() & (F.col("score") >= accept) & safe_length
     reason = (
         F.when(name == "", "empty_ocr")
         .when(n == 0, "no_tokens")

@@ -143,3 +143,13 @@ def test_streams(spark, tmp_path):
     query = stream.state_machine(one).writeStream.format("memory").queryName("machine").outputMode("update").option("checkpointLocation", str(tmp_path / "m")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.area_id, r.status) for r in spark.table("machine").collect()} == {("a", "visited"), ("b", "queued")}
+
+
+def test_ladder_finds_words_before_pairs(spark):
+    """The words of a name are found once, not again for every label of its tile."""
+    pois = spark.createDataFrame([(k, 0, "Pho Pho Ha", 10.0, 106.0) for k in range(3)], "poi int, tile int, name string, lat double, lng double")
+    there = spark.createDataFrame([(0, 0, "Pho Ha", 10.0, 106.0, "dom"), (0, 1, "Ha Pho Pho", 10.0, 106.0, "dom")], "tile int, ordinal int, label string, lat double, lng double, source string")
+    out = matching.resolve_names(pois, there, "poi")
+    assert {(r.selected, r.score) for r in out.collect()} == {("Ha Pho Pho", 1.0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("regexp_extract_all" in line for line in plan if "Join " in line)
