@@ -11,6 +11,7 @@ written to the checkpoint folder.
 from __future__ import annotations
 
 import difflib
+from functools import lru_cache
 from math import cos, degrees, radians
 
 import pandas as pd
@@ -27,10 +28,15 @@ SIMILAR = 0.6
 EARTH_M = 6_371_000.0
 
 
+@lru_cache(1 << 16)
+def _ratio(new: str, kept: str) -> float:
+    return difflib.SequenceMatcher(None, new, kept).ratio()
+
+
 @F.pandas_udf(DoubleType())
 def name_ratio(new: pd.Series, kept: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; not symmetric, the new name comes first."""
-    return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(new, kept, strict=True)])
+    return pd.Series([_ratio(a, b) if a and b else 0.0 for a, b in zip(new, kept, strict=True)])
 
 
 def _cells(lat: Column, lng: Column, limit_m: float, widest: float) -> tuple[Column, Column]:
@@ -72,6 +78,20 @@ def duplicate_edges(pois: DataFrame, key: str, limit_m: float = LIMIT_M, similar
     return equal.unionAll(maybe.where(name_ratio("name_a", "name_b") >= similar).select("later", "earlier"))
 
 
+def _twins(pois: DataFrame, key: str, limit_m: float) -> DataFrame:
+    """POIs, as (k), with the clean name and the place of one that is considered before them. They are dropped whatever
+    becomes of that one: if it is dropped, what is kept in its stead drops them too. They drop nothing, so no pair
+    needs them, and many repeats at one place cost their number and not its square."""
+    named = pois.where(strip(F.coalesce("name", F.lit(""))) != "").where(F.col(key).isNotNull())
+    here = named.where((F.abs("lat") <= 90) & (F.abs("lng") < float("inf")))
+    if limit_m <= 0:
+        here = here.limit(0)
+    place = _ordered(here, key)
+    classed = here.select(F.col(key).alias("k"), clean_name(F.col("name")).alias("clean"), "lat", "lng").join(place, "k")
+    first = classed.groupBy("clean", "lat", "lng").agg(F.min("place").alias("first"))
+    return cut(classed.join(first, ["clean", "lat", "lng"]).where("place > first").select("k").distinct())
+
+
 def dropped(edges: DataFrame) -> DataFrame:
     """Of edges(later, earlier) the POIs that the greedy pass drops, as (k)."""
     edges = cut(edges.distinct())
@@ -88,7 +108,9 @@ def dropped(edges: DataFrame) -> DataFrame:
 
 def dedupe(pois: DataFrame, key: str, limit_m: float = LIMIT_M, similar: float | None = SIMILAR) -> DataFrame:
     """POIs that stay. Those without coordinates or with blank names always do; similar=None compares equal names only."""
-    gone = dropped(duplicate_edges(pois, key, limit_m, similar))
+    twins = _twins(pois, key, limit_m)
+    rest = pois.join(twins.withColumnRenamed("k", key), key, "left_anti")
+    gone = twins.unionAll(dropped(duplicate_edges(rest, key, limit_m, similar)))
     return pois.join(gone.withColumnRenamed("k", key), key, "left_anti")
 
 

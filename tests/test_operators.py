@@ -153,3 +153,14 @@ def test_ladder_finds_words_before_pairs(spark):
     assert {(r.selected, r.score) for r in out.collect()} == {("Ha Pho Pho", 1.0)}
     plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not any("regexp_extract_all" in line for line in plan if "Join " in line)
+
+
+def test_dedupe_repeats_meet_no_pairs(spark, monkeypatch):
+    """Repeats of a name at a place are dropped before any pairs are made."""
+    seen = []
+    edges = dedupe.duplicate_edges
+    monkeypatch.setattr(dedupe, "duplicate_edges", lambda pois, *more: (seen.append(pois.count()), edges(pois, *more))[1])
+    rows = [(k, ("Phở Hà", "pho-ha")[k % 2], 10.0, 106.0) for k in range(200)] + [(200, "Pho Ha", float("nan"), 106.0), (201, "Pho Ha", float("nan"), 106.0), (202, "Phở Hà", None, None)]
+    pois = spark.createDataFrame(rows, "ordinal int, name string, lat double, lng double")
+    assert {r.ordinal for r in dedupe.dedupe(pois, "ordinal").collect()} == {0, 200, 201, 202}
+    assert seen == [4]
