@@ -60,6 +60,23 @@ def context_rewrites(words: DataFrame, text: str = "doc_id") -> DataFrame:
     return out.select(text, "at", "word", F.when(after_capital, F.col("spelled")).otherwise(match_case(F.col("word"), F.col("spelled"))).alias("spelled"))
 
 
+def context_rewrites_within(texts: DataFrame, text: str = "doc_id") -> DataFrame:
+    """context_rewrites of texts(text, words), one row and one array of words a text: every text is read on its own, and
+    nothing is shuffled. Texts without an id give nothing."""
+    keyed = texts.where(F.col(text).isNotNull()).select(text, "words", F.transform("words", fold).alias("keys"))
+    first = lambda i: F.greatest(i - WINDOW, F.lit(0))
+    window = lambda i: F.concat(F.slice("keys", first(i) + 1, i - first(i)), F.slice("keys", i + 2, F.lit(WINDOW)))
+    bases = sorted({base for base, *_ in CONTEXT})
+    hit = lambda i: F.struct(i.alias("at"), F.get("words", i).alias("word"), F.get("keys", i).alias("key"), F.get("words", i - 1).alias("previous"), window(i).alias("around"))
+    places = F.filter(F.transform("keys", lambda k, i: F.when(k.isin(bases), i)), lambda i: i.isNotNull())
+    hits = keyed.select(text, F.explode(F.transform(places, hit)).alias("h")).select(text, "h.*").where(~brand_token(F.col("word")))
+    rules = [(base, spelled, list(near)) for base, spelled, near in CONTEXT]
+    rules = F.broadcast(texts.sparkSession.createDataFrame(rules, "base string, spelled string, near array<string>"))
+    found = hits.join(rules, (F.col("key") == F.col("base")) & F.arrays_overlap("around", "near"))
+    after_capital = F.coalesce(starts_lower(F.col("word")) & starts_upper(F.col("previous")), F.lit(False))
+    return found.select(text, "at", "word", F.when(after_capital, F.col("spelled")).otherwise(match_case(F.col("word"), F.col("spelled"))).alias("spelled"))
+
+
 def phrase_hits(words: DataFrame, text: str = "doc_id") -> DataFrame:
     """Where built-in phrases stand: (text, at, phrase, spelled); overlapping hits are all reported."""
     phrases = [(" ".join(s), " ".join(t), len(s)) for s, t in PHRASES]
