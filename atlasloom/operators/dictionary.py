@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from ..functions.text import fold, folded_tokens, has_digit, has_listed_mark, ma
 
 WINDOW = 3
 LONGEST = 5
+RUN = 500_000
 
 
 def known_tokens(spellings: DataFrame, column: str = "spelling") -> DataFrame:
@@ -27,15 +31,59 @@ def with_known(words: DataFrame, known: DataFrame, column: str = "word") -> Data
 
 def phrase_ngrams(spellings: DataFrame, column: str = "spelling", order: str = "ordinal") -> DataFrame:
     """The best spelling of every phrase of two to five words: (key, spelling, marks). More marked words win, then the first."""
-    w = tokens(F.col(column))
-    sized = spellings.select(F.col(order).alias("o"), w.alias("w")).where(F.size("w") >= 2)
-    sized = sized.withColumn("n", F.explode(F.sequence(F.lit(2), F.least(F.lit(LONGEST), F.size("w")))))
-    grams = sized.select("o", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - F.col("n")), lambda i: F.struct(i.alias("i"), F.slice("w", i + 1, F.col("n")).alias("g")))).alias("x")).select("o", "x.i", "x.g")
-    marks = F.size(F.filter("g", has_listed_mark))
-    grams = grams.withColumn("marks", marks).where("marks > 0").where(~F.exists("g", has_digit))
-    key = F.array_join(F.transform("g", fold), " ")
-    best = F.max_by(F.struct(F.array_join("g", " ").alias("spelling"), "marks"), F.struct("marks", -F.col("o"), -F.size("g"), -F.col("i")))
-    return grams.groupBy(key.alias("key")).agg(best.alias("b")).select("key", "b.spelling", "b.marks")
+    # Words are folded and judged once a text, and the phrases of a batch of texts are reduced before they are shuffled.
+    w = F.transform(tokens(F.col(column)), lambda x: F.struct(x.alias("word"), fold(x).alias("key"), has_listed_mark(x).cast("int").alias("mark"), has_digit(x).alias("digit")))
+    texts = spellings.select(F.col(order).alias("o"), w.alias("w")).where(F.size("w") >= 2).select("o", F.col("w.word").alias("word"), F.col("w.key").alias("key"), F.col("w.mark").alias("mark"), F.col("w.digit").alias("digit"))
+    kind = spellings.select(order).schema[0].dataType.simpleString()
+    grams = texts.mapInArrow(_best_phrases, f"key string, spelling string, marks int, o {kind}, n int, i int")
+    best = F.max_by(F.struct("spelling", "marks"), F.struct("marks", -F.col("o"), -F.col("n"), -F.col("i")))
+    return grams.groupBy("key").agg(best.alias("b")).select("key", "b.spelling", "b.marks")
+
+
+def _runs(batch):
+    ends = batch.column("word").offsets.to_numpy()
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + RUN, side="right")) - 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def _best_phrases(batches):
+    """The best spelling, in each run of texts of about RUN words, of every phrase that has a marked word and no digit."""
+    for batch in (part for whole in batches for part in _runs(whole)):
+        lists = batch.column("word")
+        n = np.diff(lists.offsets.to_numpy())
+        word, key = lists.flatten(), batch.column("key").flatten()
+        mark = batch.column("mark").flatten().to_numpy().astype(np.int64)
+        digit = batch.column("digit").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        code = key.dictionary_encode()
+        ids = code.indices.to_numpy().astype(np.int64)
+        text = np.repeat(np.arange(len(n)), n)
+        ends = np.repeat(np.cumsum(n), n)
+        first = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        marks, digits = (np.concatenate([[0], np.cumsum(x)]) for x in (mark, digit))
+        number = pc.rank(batch.column("o"), sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
+        group = ids
+        for size in range(2, LONGEST + 1):
+            # The group of the first words, then the next word: numbers of what occurs, so that equal numbers are equal phrases.
+            at = np.flatnonzero(np.arange(len(text)) + size <= ends)
+            whole = np.full(len(text), -1, dtype=np.int64)
+            whole[at] = np.unique(group[at] * len(code.dictionary) + ids[at + size - 1], return_inverse=True)[1]
+            group = whole
+            m = marks[at + size] - marks[at]
+            good = (m > 0) & (digits[at + size] == digits[at])
+            at, m = at[good], m[good]
+            order = np.lexsort((first[at], number[text[at]], -m, group[at]))
+            at, m = at[order], m[order]
+            own = group[at]
+            best = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else own
+            at, m = at[best], m[best]
+            for k in range(0, len(at), 100_000):
+                part, of = at[k : k + 100_000], m[k : k + 100_000]
+                joined = lambda c: pc.binary_join_element_wise(*(c.take(pa.array(part + j)).cast(pa.string()) for j in range(size)), " ")  # noqa: B023,E731
+                columns = [joined(key), joined(word), pa.array(of.astype(np.int32)), batch.column("o").take(pa.array(text[part])), pa.array(np.full(len(part), size, dtype=np.int32)), pa.array(first[part].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "spelling", "marks", "o", "n", "i"])
 
 
 def _rules(spark):

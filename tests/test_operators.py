@@ -164,3 +164,31 @@ def test_dedupe_repeats_meet_no_pairs(spark, monkeypatch):
     pois = spark.createDataFrame(rows, "ordinal int, name string, lat double, lng double")
     assert {r.ordinal for r in dedupe.dedupe(pois, "ordinal").collect()} == {0, 200, 201, 202}
     assert seen == [4]
+
+
+def test_phrases_are_reduced_before_the_shuffle(spark, monkeypatch):
+    """Of a batch's repeats of a phrase one row is left, the one that a plain pass picks."""
+    rnd = random.Random(5)
+    texts = [(k, " ".join(rnd.choice(["phở", "Phở", "pho", "bò", "Bo", "ngon", "7up"]) for _ in range(rnd.randrange(9)))) for k in range(300)]
+    best = {}
+    for o, text in texts:
+        w = text.split()
+        for n in range(2, 6):
+            for i in range(len(w) - n + 1):
+                g = w[i : i + n]
+                marks = sum(fold(x) != x.lower() for x in g)
+                if marks and "7up" not in g:
+                    key = " ".join(map(fold, g))
+                    best[key] = max(best.get(key, ((0,), "")), ((marks, -o, -n, -i), " ".join(g)))
+    df = spark.createDataFrame(texts, "ordinal long, spelling string").coalesce(1)
+    found = {r.key: (r.marks, r.spelling) for r in dictionary.phrase_ngrams(df).collect()}
+    assert found == {k: (order[0], spelling) for k, (order, spelling) in best.items()}
+    words = [t.split() for _, t in texts]
+    import pyarrow as pa
+
+    mark = [[int(fold(x) != x.lower()) for x in w] for w in words]
+    batch = pa.record_batch({"o": pa.array(range(300)), "word": pa.array(words, pa.list_(pa.string())), "key": pa.array([list(map(fold, w)) for w in words], pa.list_(pa.string())), "mark": pa.array(mark, pa.list_(pa.int32())), "digit": pa.array([[x == "7up" for x in w] for w in words], pa.list_(pa.bool_()))})
+    assert sum(b.num_rows for b in dictionary._best_phrases([batch])) == len(best)
+    monkeypatch.setattr(dictionary, "RUN", 40)
+    runs = [b.to_pylist() for b in dictionary._best_phrases([batch])]
+    assert {r["key"] for b in runs for r in b} == set(best) and sum(map(len, runs)) > len(best)
