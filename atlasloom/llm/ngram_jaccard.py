@@ -3,7 +3,7 @@
 Rows of the incidence matrix are documents, columns are shingles. Sets that are equal are one
 row. Only a prefix of each row is multiplied: under one order of all shingles, two sets with
 Jaccard of at least t share one of their first n - ceil(t n) + 1 shingles. The order puts frequent
-shingles last, so columns that many documents share rarely enter the product; the order decides
+shingles last, by doublings of their counts, so columns that many documents share rarely enter the product; the order decides
 cost alone, never the result. Most columns have one entry; blocks
 of columns, packed as arrays, find those with several. For two sets of given sizes n and m the
 overlap must reach o = ceil(t (n + m) / (1 + t)), and they share one of the first n - o + 1 shingles of
@@ -21,7 +21,6 @@ component is missed.
 
 from __future__ import annotations
 
-import random
 from functools import reduce
 
 import numpy as np
@@ -122,7 +121,7 @@ def _texts(column: pa.Array):
 
 
 def _frequent(batches):
-    """Cells that are clearly above this task's mean."""
+    """Cells that are clearly above this task's mean, and their counts."""
     total, held, waiting = np.zeros(CELLS, dtype=np.int32), [], 0
 
     def add():
@@ -143,7 +142,7 @@ def _frequent(batches):
     cell = np.flatnonzero(total >= mean + 5 * np.sqrt(mean) + 4)
     for at in range(0, len(cell), 100_000):
         part = cell[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part)], ["cell"])
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part], pa.int64())], ["cell", "n"])
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -152,7 +151,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))
 
 
-def _prefixes(frequent, percent):
+def _prefixes(levels, percent):
     def rows(batches):
         for batch in batches:
             n, prints, rare, common = [], [], [], []
@@ -160,10 +159,11 @@ def _prefixes(frequent, percent):
                 own = shingles(text)
                 n.append(len(own))
                 prints.append(xxhash.xxh3_128_digest(own.tobytes()))
-                late = frequent.value[_cell(own)]
+                level = levels.value[_cell(own)]
+                late = level > 0
                 keep = len(own) + (len(own) > 0) - -(-percent * len(own) // 100)
                 rare.append(own[~late][:keep])
-                common.append(own[late][: keep - len(rare[-1])])
+                common.append(own[late][np.argsort(level[late], kind="stable")][: keep - len(rare[-1])])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), _lists(rare), _lists(common)], ["id", "n", "print", "rare", "common"])
 
     return rows
@@ -309,7 +309,7 @@ def _named(columns: DataFrame, known: DataFrame | None) -> DataFrame:
 
 
 def _mixed(columns: DataFrame, known: DataFrame | None, percent: int, *more: Column) -> DataFrame:
-    """Entries (gram, id, at, n, m, component, ...) of columns with several components and an entry that can start a comparison;
+    """Entries (gram, id, at, own, n, m, component, ...) of columns with several components and an entry that can start a comparison;
     more are further aggregates of a column. A long column's entries are dealt in lots."""
     named = _named(columns, known)
     starts = F.col("at") <= F.col("n") - _needed(F.col("n"), F.col("n"), percent)
@@ -321,11 +321,13 @@ def _mixed(columns: DataFrame, known: DataFrame | None, percent: int, *more: Col
 
 def _ask(columns: DataFrame, known: DataFrame | None, percent: int, turn: int) -> DataFrame:
     """Pairs (a, b): each document b of a long column and the hubs a of other components that it shares most such columns
-    with. A hub is the id whose bits are nearest to a number drawn for the turn, so all columns of a group tend to have
-    the same ones."""
-    drawn = [random.Random(turn * HUBS + k).getrandbits(62) for k in range(HUBS)]
-    hubs = [F.min(F.col("id").bitwiseXOR(F.lit(d))).alias(f"h{k}") for k, d in enumerate(drawn)]
-    hub = F.explode(F.array(*(F.col(f"h{k}").bitwiseXOR(F.lit(d)) for k, d in enumerate(drawn)))).alias("hub")
+    with. The first hub is the document with the least share of rare shingles, which has least that the rest of a large
+    group lacks; the others come by chance from ever more of the documents. Chance goes by id and turn, so all columns
+    of a group tend to have the same hubs."""
+    share = F.floor(64 * F.col("own") / (F.col("n") * (100 - percent) / 100 + 1))
+    chance = lambda k: F.xxhash64("id", F.lit(turn * HUBS + k)).bitwiseAND(F.lit((1 << 40) - 1))
+    hubs = [F.min_by("id", F.shiftleft(F.shiftright(share, 2 * k), 40) + chance(k)).alias(f"h{k}") for k in range(HUBS)]
+    hub = F.explode(F.array_distinct(F.array(*(f"h{k}" for k in range(HUBS))))).alias("hub")
     asked = _mixed(columns, known, percent, *hubs).select("id", "component", hub).where("id <> hub")
     asked = asked.groupBy("id", "component", "hub").agg(F.count("*").alias("k"))
     # A document has at most as many hubs as its prefix has entries, times HUBS.
@@ -362,11 +364,14 @@ def ngram_jaccard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
-    cells = docs.select("text").mapInArrow(lean(_frequent), "cell long").distinct()
-    frequent = np.zeros(CELLS, dtype=bool)  # at most CELLS rows reach the driver, 4 MB go out
-    frequent[cells.toArrow().column(0).to_numpy()] = True
-    frequent = spark.sparkContext.broadcast(frequent)
-    rows = materialize(docs.mapInArrow(lean(_prefixes(frequent, percent)), "id long, n long, print binary, rare array<bigint>, common array<bigint>"), "rows")
+    # Each doubling of a count is a level: else an edit that dozens share would stand among the shingles of a large group, and one of
+    # these would enter the prefix of a document that is too far from all of the group.
+    level = (F.floor(F.log2(F.sum("n"))) + 1).cast("byte")
+    cells = docs.select("text").mapInArrow(lean(_frequent), "cell long, n long").groupBy("cell").agg(level).toArrow()
+    levels = np.zeros(CELLS, dtype=np.int8)  # at most CELLS rows reach the driver, 4 MB go out
+    levels[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
+    levels = spark.sparkContext.broadcast(levels)
+    rows = materialize(docs.mapInArrow(lean(_prefixes(levels, percent)), "id long, n long, print binary, rare array<bigint>, common array<bigint>"), "rows")
     plain = materialize(rows.select("id", "n", "print"), "plain")
 
     # Equal sets are one row of the matrix, named by its smallest document.
@@ -382,9 +387,9 @@ def ngram_jaccard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     rare = dealt.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(lean(_several), "gram long, id long, at int, n int, m long")
     # A column of a frequent shingle may hold a large share of all documents: counts meet, not entries.
     common = heads.select("id", "n", F.size("rare").alias("before"), F.posexplode("common").alias("at", "gram"))
-    common = common.select("gram", "id", (F.col("before") + F.col("at")).alias("at"), F.col("n").cast("int").alias("n"))
+    common = common.select("gram", "id", (F.col("before") + F.col("at")).alias("at"), F.col("n").cast("int").alias("n"), F.col("before").alias("own"))
     several = materialize(common.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "several")
-    columns = materialize(rare.unionAll(spread_join(common, several, "gram", "m", late, several.seen["n"]).select("gram", "id", "at", "n", "m")), "columns")
+    columns = materialize(rare.withColumn("own", F.lit(0)).unionAll(spread_join(common, several, "gram", "m", late, several.seen["n"]).select("gram", "id", "at", "n", "m", "own")), "columns")
     discard(rows, several)
     # Halves of shingles are enough to count what prefixes share at most; twins counts a document's equal halves.
     half = F.expr("cast(gram & 2147483647 as int)")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from atlasloom.llm import common
 from atlasloom.llm import embedding_dedup as ed
 from atlasloom.llm import mixing as mx
+from atlasloom.llm import ngram_jaccard as nj
 from atlasloom.llm import packing as pk
 from atlasloom.llm.compaction import Conflict, ShardStore
 from atlasloom.llm.components import components
@@ -117,6 +118,25 @@ def test_jaccard_large_group_of_copies(spark):
     assert got == want and 1 < len(set(want.values())) < 150
 
 
+def test_jaccard_compares_a_large_group_in_proportion(spark, monkeypatch):
+    """Most near copies are few edits from one text, others too many, and dozens share an edit: few pairs a document meet."""
+    rnd = random.Random(11)
+    rows = []
+    for k in range(800):
+        own = [f"b{i}" for i in range(150)]
+        for _ in range(rnd.choice([0, 1, 1, 2, 2, 3, 4, 5, 6])):
+            at = rnd.randrange(150)
+            own[at] = f"w{rnd.randrange(10**9)}" if rnd.random() < 0.8 else f"common{at}"
+        rows.append((k, " ".join(own), "en", "s"))
+    sets = {r[0]: shingle_set(r[1]) for r in rows}
+    want = joined([(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])], sets)
+    attach, met = nj._attach, []
+    monkeypatch.setattr(nj, "_attach", lambda pairs, values: met.append(pairs.seen["n"]) or attach(pairs, values))
+    got = {r.doc_id: r.component_id for r in nj.ngram_jaccard(documents(spark, rows)).collect()}
+    assert got == want and 1 < len(set(want.values())) < 800
+    assert sum(met) < 20 * len(rows), met
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)]
